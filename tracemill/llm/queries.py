@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracemill.llm import components, conversations, neardup
+from tracemill.llm import components, conversations, copies, lookalike, neardup
 from tracemill.runtime import table
 
 
@@ -22,6 +22,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.mention_pairs(table(spark, sf_dir, "mentions"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [("mentions", "ord", "quote"), ("trace_records", "record_no", "text")]
+    parts = [lookalike.same_looking_pairs(table(spark, sf_dir, name), key, column).select(F.lit(name).alias("tbl"), "*") for name, key, column in parts]
+    return parts[0].unionByName(parts[1])
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.domain_records(*(table(spark, sf_dir, t) for t in ("mentions", "facts", "fact_dumps")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.copied_rows(_records(spark, sf_dir))
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.counted_copies(_records(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit() and callable(v)}
 
