@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracemill.llm import components, conversations, copies, lookalike, neardup
+from tracemill.llm import components, conversations, copies, encoding, leakage, lookalike, neardup
 from tracemill.runtime import table
 
 
@@ -40,6 +40,23 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.counted_copies(_records(spark, sf_dir))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), paraphrases=False)
+    return found.where("exact").select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restored(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"))
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restored(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit() and callable(v)}
 
