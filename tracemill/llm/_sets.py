@@ -77,40 +77,48 @@ class WordSets:
 
     def minima(self, functions: int, seed: int = 7) -> np.ndarray:
         """uint32 [functions, texts]: MinHash minima."""
-        rng = np.random.default_rng(seed)
-        a = rng.integers(1, 2**63, functions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        b = rng.integers(0, 2**63, functions, dtype=np.uint64)
-        out = np.empty((functions, len(self.rows)), np.uint32)
-        if len(self.rows):
-            with np.errstate(over="ignore"):
-                for f in range(functions):
-                    h = mix(self.hashes * a[f] + b[f])
-                    out[f] = np.minimum.reduceat((h >> np.uint64(32)).astype(np.uint32)[self.index], self.starts)
-        return out
-
-    def lists(self) -> list[np.ndarray]:
-        """The sorted word hashes of each text, as int64."""
-        h = self.hashes.view(np.int64)[self.index]
-        return [np.sort(x) for x in np.split(h, self.starts[1:])] if len(self.rows) else []
+        return minima_of(self.hashes, self.index, self.starts, functions, seed)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, 32-bit hashes) of each text's words; two words of one text share a hash once in some million texts."""
+        return np.append(self.starts, len(self.index)).astype(np.int32), mix(self.hashes).astype(np.uint32).view(np.int32)[self.index]
+
+
+def minima_of(hashes: np.ndarray, index: np.ndarray, starts: np.ndarray, functions: int, seed: int = 7) -> np.ndarray:
+    """uint32 [functions, texts]: MinHash minima of texts given as positions in a vocabulary of hashes."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(1, 2**63, functions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 2**63, functions, dtype=np.uint64)
+    out = np.empty((functions, len(starts)), np.uint32)
+    if len(starts):
+        with np.errstate(over="ignore"):
+            for f in range(functions):
+                h = mix(hashes * a[f] + b[f])
+                out[f] = np.minimum.reduceat((h >> np.uint64(32)).astype(np.uint32)[index], starts)
+    return out
+
+
+#: Bits of the packed sketch of a text.
+BITS = 128
 
 
 def low_bits(minima: np.ndarray) -> np.ndarray:
-    """b-bit MinHash with b = 1: the low bits of the first 64 minima, packed in one uint64 a text."""
-    out = np.zeros(minima.shape[1], np.uint64)
-    for f in range(64):
-        out |= (minima[f] & np.uint32(1)).astype(np.uint64) << np.uint64(f)
+    """b-bit MinHash with b = 1: the low bits of the first 128 minima, packed in two uint64 a text."""
+    out = np.zeros((minima.shape[1], BITS // 64), np.uint64)
+    for f in range(BITS):
+        out[:, f // 64] |= (minima[f] & np.uint32(1)).astype(np.uint64) << np.uint64(f % 64)
     return out
 
 
 def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return 64 - np.bitwise_count(x ^ y).astype(np.int64)
+    return BITS - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
 def least_agreeing(threshold: float, sigmas: float = 3.1) -> int:
-    """Fewest of 64 bits that two texts of similarity ``threshold`` agree in, but for one case in a thousand.
+    """Fewest of the bits that two texts of similarity ``threshold`` agree in, but for one case in a thousand.
 
     Bits of different minima agree half of the time, so the share of agreeing bits is (1 + J) / 2 and
-    the collision-corrected estimate is J = 2 * agreeing / 64 - 1.
+    the collision-corrected estimate is J = 2 * agreeing / BITS - 1.
     """
     p = (1 + threshold) / 2
-    return int(np.floor(64 * p - sigmas * np.sqrt(64 * p * (1 - p))))
+    return int(np.floor(BITS * p - sigmas * np.sqrt(BITS * p * (1 - p))))

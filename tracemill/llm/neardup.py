@@ -5,9 +5,10 @@ word, and counting the agreeing bits of two such words gives the collision-corre
 Candidates that the estimate does not rule out are checked exactly on their whole word sets, and the
 links so found are joined into groups.
 
-What crosses the network for one text and band is 20 bytes: a band key, the id of the word set and the
-packed bits. Equal word sets are one text, collapsed batch by batch before the shuffle, so a group of
-copies with any share of the rows weighs no more than its share of batches. Buckets are searched whole.
+What crosses the network for one text and band is a band key, the id of the word set and the packed bits:
+28 bytes, less where a part takes two bands. Texts are split into words once. Equal word sets are one text,
+collapsed batch by batch before the shuffle, so a group of copies with any share of the rows weighs no more
+than its share of batches. Buckets are searched whole.
 Where a bucket holds so many similar texts that its pairs would outgrow it, the pairs of near neighbours
 are checked and joined first; what then still stands in different groups is compared without limit.
 """
@@ -21,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracemill.llm._sets import WordSets, agreeing, least_agreeing, low_bits, mix
+from tracemill.llm._sets import BITS, WordSets, agreeing, least_agreeing, low_bits, minima_of, mix
 from tracemill.llm.components import grid_components
 from tracemill.runtime import Scratch
 
 ENTRIES = "part int, keys binary, ids binary, bits binary"
 _ENTRIES = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("bits", pa.binary())])
+#: Texts of one band that a task searches.
+PART = 1_000_000
 
 
 def plan_bands(rows: int, threshold: float, recall: float = 0.988, row_limit: int = 16) -> tuple[int, int]:
@@ -38,32 +41,61 @@ def plan_bands(rows: int, threshold: float, recall: float = 0.988, row_limit: in
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**width)), width
 
 
-def band_entries(texts: DataFrame, column: str, bands: int, width: int, splits: int) -> DataFrame:
-    """The band entries of every text that has a word, packed by batch and part; part = band * splits + range of keys."""
+def set_table(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, id, words) of every text with a word: id numbers its set of words, words holds their 32-bit hashes."""
+    kind = dict(texts.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = WordSets(batch.column(0).to_pylist())
-            ids, first = np.unique(sets.ids(), return_index=True)
-            minima = sets.minima(max(64, bands * width))[:, first]
-            bits = low_bits(minima)
+            sets = WordSets(batch.column(1).to_pylist())
+            offsets, words = sets.words()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sets.rows)), pa.array(sets.ids()), pa.ListArray.from_arrays(offsets, pa.array(words))], ["key", "id", "words"])
+
+    return texts.select(key, column).mapInArrow(run, f"key {kind}, id long, words array<int>")
+
+
+def sketches(batch: pa.RecordBatch, functions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, minima, packed bits) of the distinct word sets of a batch (id, words)."""
+    ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+    lists = batch.column(1).take(pa.array(first))
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    starts = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
+    known, index = np.unique(flat, return_inverse=True)
+    minima = minima_of(mix(known.astype(np.int64).view(np.uint64)), index, starts, max(BITS, functions))
+    return ids, minima, low_bits(minima)
+
+
+def band_key(minima: np.ndarray, band: int, width: int) -> np.ndarray:
+    key = np.full(minima.shape[1], band, np.uint64)
+    for row in minima[band * width : (band + 1) * width]:
+        key = mix(key ^ row.astype(np.uint64))
+    return key
+
+
+def band_entries(sets: DataFrame, bands: int, width: int, splits: int) -> DataFrame:
+    """The band entries of every word set, packed by batch and part.
+
+    A part is a range of one band's keys, or all keys of two bands while one task can search them.
+    """
+    per = 2 if splits == 1 else 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, minima, bits = sketches(batch, bands * width)
             out: dict[str, list] = {"part": [], "keys": [], "ids": [], "bits": []}
-            for band in range(bands):
-                key = np.full(len(ids), band, np.uint64)
-                for row in minima[band * width : (band + 1) * width]:
-                    key = mix(key ^ row.astype(np.uint64))
-                within = (key % np.uint64(splits)).astype(np.int64)
-                key = (key >> np.uint64(32)).astype(np.uint32)
+            for band in range(0, bands, per):
+                keys = [band_key(minima, b, width) for b in range(band, min(band + per, bands))]
+                within = (keys[0] % np.uint64(splits)).astype(np.int64)
                 for s in range(splits):
                     at = slice(None) if splits == 1 else within == s
-                    if len(k := key[at]):
-                        out["part"].append(band * splits + s)
-                        out["keys"].append(k.tobytes())
+                    if len(ids[at]):
+                        out["part"].append(band // per * splits + s)
+                        out["keys"].append(np.stack([(k[at] >> np.uint64(32)).astype(np.uint32) for k in keys]).T.tobytes())
                         out["ids"].append(ids[at].tobytes())
                         out["bits"].append(bits[at].tobytes())
             yield pa.RecordBatch.from_pydict(out, _ENTRIES)
 
-    return texts.select(column).mapInArrow(run, ENTRIES)
+    return sets.select("id", "words").mapInArrow(run, ENTRIES)
 
 
 def similar_in_buckets(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, least: int, groups: np.ndarray | None = None, most: float = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,79 +134,55 @@ def similar_in_buckets(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, leas
     return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)]), rest
 
 
-FOUND = "a long, b long, bucket long, bits long"
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("bits", pa.int64())])
+FOUND = "a long, b long, bucket long, low long, high long"
+_FOUND = pa.schema([(c, pa.int64()) for c in ("a", "b", "bucket", "low", "high")])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def candidates(entries: DataFrame, least: int) -> DataFrame:
-    """Rows (a, b) of ids to check, and rows (a, null, bucket, bits) of the buckets to search again."""
+    """Rows (a, b) of ids to check, and rows (a, null, bucket, low, high) of the buckets to search again."""
 
     def search(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
-        whole = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-        keys, ids, bits = whole("keys", np.uint32), whole("ids", np.int64), whole("bits", np.uint64)
-        order = np.lexsort((ids, keys))
-        keys, ids, bits = keys[order], ids[order], bits[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-        keys, ids, bits = keys[new], ids[new], bits[new]
-        a, b, rest = similar_in_buckets(keys, ids, bits, least)
-        found = np.unique(np.stack([ids[a], ids[b]], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        n, m = len(found), len(rest)
-        bucket = (np.int64(part) << np.int64(32)) | keys[rest].astype(np.int64)
-        return pa.table(
-            [
-                pa.array(np.concatenate([found[:, 0], ids[rest]])),
-                pa.array(np.concatenate([found[:, 1], np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
-                pa.array(np.concatenate([np.zeros(n, np.int64), bucket]), mask=np.arange(n + m) < n),
-                pa.array(np.concatenate([np.zeros(n, np.int64), bits[rest].view(np.int64)]), mask=np.arange(n + m) < n),
-            ],
-            schema=_FOUND,
-        )
+        whole = lambda name, kind, width: np.frombuffer(b"".join(group.column(name).to_pylist()), kind).reshape(-1, width)
+        all_ids, all_bits = whole("ids", np.int64, 1)[:, 0], whole("bits", np.uint64, 2)
+        all_keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint32).reshape(len(all_ids), -1)
+        pairs, again = [np.zeros((0, 2), np.int64)], [np.zeros((0, 4), np.int64)]
+        for k in range(all_keys.shape[1]):
+            order = np.lexsort((all_ids, all_keys[:, k]))
+            keys, ids = all_keys[order, k], all_ids[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+            keys, ids, bits = keys[new], ids[new], all_bits[order[new]]
+            a, b, rest = similar_in_buckets(keys, ids, bits, least)
+            pairs.append(np.stack([ids[a], ids[b]], 1))
+            bucket = (np.int64(part * 2 + k) << np.int64(32)) | keys[rest].astype(np.int64)
+            again.append(np.column_stack([ids[rest], bucket, bits[rest].view(np.int64)]))
+        found, left = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0), np.concatenate(again)
+        n, m = len(found), len(left)
+        rest = np.arange(n + m) >= n
+        column = lambda x, y, null: pa.array(np.concatenate([x, y]), mask=null)
+        none = np.zeros(n, np.int64)
+        return pa.table([column(found[:, 0], left[:, 0], None), column(found[:, 1], np.zeros(m, np.int64), rest), *(column(none, left[:, c], ~rest) for c in (1, 2, 3))], schema=_FOUND)
 
     return entries.groupBy("part").applyInArrow(search, FOUND)
 
 
 def search_again(rest: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of ids of one bucket that are similar and stand in different groups, without a limit."""
-    told = rest.join(roots.select(F.col("v").alias("a"), "root"), "a", "left").select("bucket", F.col("a").alias("id"), "bits", F.coalesce("root", "a").alias("root"))
+    told = rest.join(roots.select(F.col("v").alias("a"), "root"), "a", "left").select("bucket", F.col("a").alias("id"), "low", "high", F.coalesce("root", "a").alias("root"))
 
     def search(group: pa.Table) -> pa.Table:
-        ids, bits, roots = (group.column(c).to_numpy() for c in ("id", "bits", "root"))
-        keep = np.zeros(0, np.int64)
+        ids, low, high, roots = (group.column(c).to_numpy() for c in ("id", "low", "high", "root"))
+        bits = np.column_stack([low, high]).view(np.uint64)
+        a = b = np.zeros(0, np.int64)
         if len(np.unique(roots)) > 1:
-            a, b, _ = similar_in_buckets(np.zeros(len(ids), np.uint32), ids, bits.view(np.uint64), least, roots, math.inf)
-        else:
-            a = b = keep
-        return pa.table([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            a, b, _ = similar_in_buckets(np.zeros(len(ids), np.uint32), ids, bits, least, roots, math.inf)
+        return pa.table([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], schema=_PAIR)
 
     return told.groupBy("bucket").applyInArrow(search, "a long, b long").distinct()
 
 
-def word_sets(texts: DataFrame, key: str | None, column: str) -> DataFrame:
-    """(key, id) of every text with a word: id numbers its set of words. Without a key, (id, words): the set as int hashes."""
-    schema = pa.schema([("id", pa.int64()), ("words", pa.list_(pa.int32()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = WordSets(batch.column(batch.num_columns - 1).to_pylist())
-            ids = sets.ids()
-            if key:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sets.rows)), pa.array(ids)], [key, "id"])
-                continue
-            ids, first = np.unique(ids, return_index=True)
-            starts, counts = sets.starts[first], sets.counts[first]
-            ends = np.cumsum(counts)
-            flat = np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-            hashes = mix(sets.hashes).astype(np.uint32).view(np.int32)[sets.index[flat]] if len(flat) else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), lists], schema=schema)
-
-    if key:
-        return texts.select(key, column).mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, id long")
-    return texts.select(column).mapInArrow(run, "id long, words array<int>")
-
-
 def alike(a: str, b: str, threshold: float) -> F.Column:
     """Whether two arrays of distinct words share at least this part of the words of either."""
     shared = F.size(F.array_intersect(a, b))
@@ -196,23 +204,25 @@ def near_duplicate_groups(texts: DataFrame, *, key: str = "key", column: str = "
     no group; texts of any length count whole. An empty table gives an empty result; other columns are ignored.
     """
     scratch = scratch or Scratch(texts.sparkSession, "neardup")
-    texts = texts.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(column).alias("text"))
-    rows = texts.count()
+    texts = texts.where(F.col(key).isNotNull() & F.col(column).isNotNull())
+    sets = scratch.keep(set_table(texts, key, column))
+    rows = sets.count()
     bands, width = plan_bands(rows, threshold, recall)
     least = least_agreeing(threshold)
-    found = scratch.keep(candidates(band_entries(texts, "text", bands, width, max(1, math.ceil(rows / 1_000_000))), least))
+    found = scratch.keep(candidates(band_entries(sets, bands, width, max(1, math.ceil(rows / PART))), least))
     scratch.release()
-    words = word_sets(texts, None, "text").groupBy("id").agg(F.first("words").alias("words"))
-    links = scratch.keep(checked(found.where("b is not null").select("a", "b").distinct(), words, threshold))
+    words = lambda pairs: sets.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("words").alias("words"))
+    pairs = scratch.keep(found.where("b is not null").select("a", "b").distinct())
+    links = scratch.keep(checked(pairs, words(pairs), threshold))
     scratch.release()
     roots = scratch.keep(grid_components(links, scratch))
     rest = found.where("b is null")
     if rest.take(1):
-        more = scratch.keep(checked(search_again(rest, roots, least), words, threshold))
-        roots = scratch.keep(grid_components(links.unionByName(more), scratch))
-    members = scratch.keep(word_sets(texts, "key", "text").distinct())
+        pairs = scratch.keep(search_again(rest, roots, least))
+        roots = scratch.keep(grid_components(links.unionByName(checked(pairs, words(pairs), threshold)), scratch))
     scratch.release()
-    named = members.join(roots, members.id == roots.v, "left").select("key", F.coalesce("root", "id").alias("root"))
+    named = sets.select("key", "id").distinct().join(roots, F.col("id") == F.col("v"), "left").select("key", F.coalesce("root", "id").alias("root"))
+    named = scratch.keep(named)
     groups = named.groupBy("root").agg(F.min("key").alias("group"), F.count("*").alias("n")).where("n > 1").drop("n")
     return named.join(groups, "root").select("key", "group")
 
