@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracemill.llm import components, conversations, copies, encoding, leakage, lookalike, neardup
+from tracemill.llm import components, conversations, copies, encoding, history, leakage, lookalike, mixture, neardup
 from tracemill.runtime import table
 
 
@@ -18,6 +18,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.whole_debates(table(spark, sf_dir, "trace_records"), table(spark, sf_dir, "debates")).select("execution_id", "turn_no", "record_no")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.said_already(table(spark, sf_dir, "facts"), table(spark, sf_dir, "new_mentions"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.mention_pairs(table(spark, sf_dir, "mentions"))
 
@@ -49,6 +53,16 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn documents with their source's target and actual share."""
+    drawn, shares = mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return drawn.join(F.broadcast(shares.select("source", "target_share", "wanted_share", "actual_share")), "source")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"))
 
