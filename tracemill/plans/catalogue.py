@@ -1,4 +1,4 @@
-"""Registry of queries over the domain tables, each with its SQL."""
+"""All queries of the core and their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.plans import lifecycle  # noqa: F401
+from tracemill.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
