@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.plans import graphs, lifecycle, scalars  # noqa: F401
+from tracemill.plans import graphs, lifecycle, matchers, scalars  # noqa: F401
 from tracemill.plans.registry import QUERIES, SQL
 
 
