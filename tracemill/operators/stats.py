@@ -37,13 +37,13 @@ def _uniform(*seed: Column) -> Column:
 
 def bootstrap_mean(rows: DataFrame, value: str, *, key: str, draws: int = 2000, seed: int = 1) -> DataFrame:
     """(n, mean, low, high, positive): mean with a 95 % interval by Poisson bootstrap, and the share of draws above
-    zero, ties half. Weights depend on key, draw and seed only, so results repeat on any cluster."""
+    zero, ties half; draws that take no row count for nothing. Weights depend on key, draw and seed only, so results repeat on any cluster."""
     u = _uniform(F.col(key), F.col("draw"), F.lit(seed))
     # Poisson(1) by its cumulative probabilities.
     weight = sum((F.when(u >= c, 1).otherwise(0) for c in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
     d = _draws(rows.where(F.col(value).isNotNull()), draws).withColumn("w", weight).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
     est = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    got = d.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg(F.when(F.col("m") > 0, 1.0).when(F.col("m") == 0, 0.5).otherwise(0.0)).alias("positive"))
+    got = d.where("m is not null").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg(F.when(F.col("m") > 0, 1.0).when(F.col("m") == 0, 0.5).otherwise(0.0)).alias("positive"))
     return est.crossJoin(got)
 
 
