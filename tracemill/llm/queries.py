@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -72,8 +73,34 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit() and callable(v)}
+    return {k: v for k, v in globals().items() if re.match(r"p\d_", k)}
+
+
+P1 = r"""WITH RECURSIVE known AS (SELECT DISTINCT mention_id AS id FROM mentions WHERE mention_id IS NOT NULL),
+held AS (SELECT DISTINCT ord, id FROM (SELECT ord, unnest(mention_ids) AS id FROM facts) JOIN known USING (id)),
+links AS (SELECT a AS u, b AS v FROM relations JOIN known x ON x.id = a JOIN known y ON y.id = b WHERE a <> b AND upper(trim(regexp_replace(relation, '^\s+|\s+$', '', 'g'))) = 'EQUIVALENT' AND coalesce(confidence, 1.0) >= 0.85 UNION SELECT min(id) OVER (PARTITION BY ord), id FROM held),
+edges AS (SELECT u, v FROM links WHERE u <> v UNION SELECT v, u FROM links WHERE u <> v),
+reach AS (SELECT DISTINCT u AS id, u AS root FROM edges UNION SELECT edges.v, root FROM reach JOIN edges ON edges.u = reach.id WHERE root < edges.v)
+SELECT id AS mention_id, min(root) AS group_id FROM reach GROUP BY 1"""
+
+P2 = r"""WITH said AS (SELECT DISTINCT record_no, provenance.execution_id AS execution_id, provenance.agent_id AS agent_id, provenance.round AS round, regexp_matches(coalesce(text, ''), '[^\s\p{Z}\p{C}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{2800}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}]') AS seen FROM trace_records WHERE provenance.channel = 'output'),
+d AS (SELECT DISTINCT execution_id, rounds, map_keys(roles) AS agents FROM debates WHERE rounds > 0 AND len(map_keys(roles)) > 0),
+ok AS (SELECT execution_id FROM said JOIN d USING (execution_id) GROUP BY execution_id, rounds, agents HAVING count(*) = len(agents) * rounds AND count(DISTINCT agent_id || '|' || round) = count(*) AND bool_and(seen AND agent_id IS NOT NULL AND round BETWEEN 1 AND rounds AND list_contains(agents, agent_id)))
+SELECT execution_id, row_number() OVER (PARTITION BY execution_id ORDER BY round, agent_id) AS turn_no, record_no FROM said JOIN ok USING (execution_id)"""
+
+_PLAIN = r"regexp_replace(lower({}), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]|\p{{P}}|\p{{Z}}|\p{{C}}', '', 'g')"
+_FIELDS = " || '|' || ".join(f"coalesce({_PLAIN.format(f'json_extract_string(payload, {chr(39)}$.{f}{chr(39)})')}, '~')" for f in ("canonical_text", "polarity", "properties.topic", "properties.place", "properties.rank", "properties.gold"))
+P6_ROWS = f"""WITH r AS (SELECT DISTINCT 'mentions' AS tbl, ord AS row_no, {_PLAIN.format('text')} AS form FROM mentions WHERE text IS NOT NULL
+UNION SELECT 'facts', ord, {_PLAIN.format('canonical_text')} FROM facts WHERE canonical_text IS NOT NULL
+UNION SELECT 'fact_dumps', dump_id, {_FIELDS} FROM fact_dumps WHERE json_valid(payload))"""
+P6 = P6_ROWS + " SELECT tbl, row_no, first_row_no FROM (SELECT *, min(row_no) OVER w AS first_row_no, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY tbl, form)) WHERE n > 1"
+
+P7 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)), eg AS (SELECT item_id, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM e))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are sequential, random or fitted; tests/llm holds them against brute force."""
+    counts = P6_ROWS + " SELECT tbl, min(row_no) AS first_row_no, count(*) AS copies FROM r GROUP BY tbl, form"
+    return {"p1_found": P1, "p2_found": P2, "p6_found": P6, "p6_counts": counts, "p7_found": P7}
