@@ -85,7 +85,7 @@ def last_line(c: Column, marker: str, limit: int = 120) -> Column:
     """What follows the marker in the last line that begins with it, else the last line, cut to a limit."""
     lines = F.filter(F.split(c, r"\n"), lambda x: F.trim(x) != "")
     marked = F.filter(lines, lambda x: F.upper(F.trim(x)).startswith(marker.upper()))
-    return F.when(F.size(marked) > 0, F.trim(F.substring(F.trim(F.element_at(marked, -1)), len(marker) + 1, 10_000))).otherwise(F.substring(F.trim(F.element_at(lines, -1)), 1, limit))
+    return F.when(F.size(marked) > 0, F.trim(F.substring(F.trim(F.try_element_at(marked, F.lit(-1))), len(marker) + 1, 10_000))).otherwise(F.substring(F.trim(F.try_element_at(lines, F.lit(-1))), 1, limit))
 
 
 def shorten(c: Column, limit: int) -> Column:

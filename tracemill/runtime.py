@@ -5,11 +5,31 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that their Python finds it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="tracemill-")) / "tracemill.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +51,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, tag: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
