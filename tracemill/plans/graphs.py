@@ -51,27 +51,32 @@ def g_density(t: Trace) -> DataFrame:
 
 
 
+def reach(edges: str, key: str) -> str:
+    """SQL that gives every vertex of ``edges`` (u, v) the smallest vertex it is joined to: only smaller roots are passed on."""
+    return f", ed AS ({edges}), ee AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed), reach AS (SELECT DISTINCT u AS id, u AS root FROM ee UNION SELECT ee.v, root FROM reach JOIN ee ON ee.u = reach.id WHERE root < ee.v) SELECT id AS {key}, min(root) AS root FROM reach GROUP BY 1"
+
+
 @query()
 def g_crux(t: Trace) -> DataFrame:
     """Facts by betweenness in the entailment graph, exact, over each weakly connected part."""
     return betweenness(t, _entail(t).distinct())
 
 
-@query()
+@query(reach("SELECT fa AS u, fb AS v FROM lf WHERE label IN ('A_ENTAILS_B', 'B_ENTAILS_A', 'CONTRADICTS')", "fact_id"), recursive=True)
 def g_components(t: Trace) -> DataFrame:
     """(fact_id, root) of the facts that entailment or contradiction joins, whatever the direction."""
     e = g_fact_graph(t).select("u", "v")
     return connected(e).select(F.col("id").alias("fact_id"), "root")
 
 
-@query()
+@query(reach("SELECT a AS u, b AS v FROM jd WHERE label = 'EQUIVALENT' AND confidence >= 0.85", "mention_id"), recursive=True)
 def cluster(t: Trace) -> DataFrame:
     """(mention_id, root): mentions joined by judgements of equivalence with a confidence of 0.85 or more."""
     e = t.judged.where("label = 'EQUIVALENT' and confidence >= 0.85").select(F.col("a").alias("u"), F.col("b").alias("v"))
     return connected(e).select(F.col("id").alias("mention_id"), "root")
 
 
-@query()
+@query(reach("SELECT a AS u, b AS v FROM jd WHERE label = 'EQUIVALENT' AND confidence >= 0.95", "mention_id"), recursive=True)
 def recluster(t: Trace) -> DataFrame:
     """The same cut at 0.95, from the stored judgements."""
     e = t.judged.where("label = 'EQUIVALENT' and confidence >= 0.95").select(F.col("a").alias("u"), F.col("b").alias("v"))

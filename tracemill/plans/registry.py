@@ -53,14 +53,14 @@ us AS (SELECT sa.*, CASE WHEN own_first_rk < rk THEN 'held' WHEN got THEN 'adopt
 """
 
 
-def query(sql: str | None = None, *, base: bool = True, name: str | None = None):
+def query(sql: str | None = None, *, base: bool = True, name: str | None = None, recursive: bool = False):
     """Registers a function of a Trace under its own name."""
 
     def register(f: Callable[[Trace], DataFrame]):
         key = name or f.__name__
         QUERIES[key] = lambda spark, sf_dir: f(Trace(spark, sf_dir))
         if sql:
-            SQL[key] = BASE + sql if base else sql
+            SQL[key] = (BASE.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else BASE) + sql if base else sql
         return f
 
     return register
