@@ -115,11 +115,12 @@ def test_uses_partition_what_was_said(spark, store):
     assert L.funnel(t).first().asDict() == {"execution_id": "e", "exposed": 1, "adopted": 1, "retained": 1}
 
 
-def test_components_on_chains_stars_and_pairs(spark):
+@pytest.mark.parametrize("local", [0, 500_000])
+def test_components_on_chains_stars_and_pairs(spark, local):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
-    got = {r.id: r.root for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.id: r.root for r in connected(spark.createDataFrame(edges, "u long, v long"), local_edges=local).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
-    assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert connected(spark.createDataFrame([], "u long, v long"), local_edges=local).count() == 0
 
 
 def test_betweenness():
