@@ -101,6 +101,23 @@ def test_leaks(spark):
     assert leakage.common_in_order(list("abcbdab"), list("bdcaba")) == 4
 
 
+@pytest.mark.parametrize("n", [1, 1000, 4000])
+def test_leaks_beside_rare_words(spark, n):
+    """Every run of 13 common words is found, whatever stands beside it and however many documents there are."""
+    rng = random.Random(9)
+    common = [f"common{k}" for k in range(60)]
+    items = [(i, " ".join(rng.choice(common) for _ in range(30)), None) for i in range(5)]
+    rare = iter(range(10**6))
+    beside = lambda k: [f"rare{next(rare)}" for _ in range(k)]
+    docs = [" ".join(w for i, t, _ in items for s in range(18) for w in [*beside(13), *t.split()[s : s + 13], *beside(13)])] if n == 1 else [" ".join([*beside(13), *t.split()[s : s + 13], *beside(13)]) for _, t, _ in items for s in range(18)]
+    want = {(0, i) for i in range(5)} if n == 1 else {(d, d // 18) for d in range(90)}
+    docs += [" ".join(rng.sample(common, 12)) for _ in range(n - len(docs))]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    ev = spark.createDataFrame(items, "item_id long, text string, answer string")
+    for paraphrases in (False, True):
+        assert {(r.doc_id, r.item_id) for r in leakage.leaks(df, ev, paraphrases=paraphrases).collect() if r.exact} == want
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 10_000), st.integers(3, 60))
 def test_flight_keeps_totals(seed, n):
