@@ -18,3 +18,16 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(out("a") + "/facts").first().annotation.truth is True
     assert main(["stats", out("s")]) == 0
     assert main(["view", out("s"), "-o", out("v.html")]) == 0 and "Rain fell" in (tmp_path / "v.html").read_text()
+
+
+def test_reworded_mention_keeps_the_registered_fact(spark, tmp_path):
+    out = lambda x: str(tmp_path / x)
+    for run, texts in (("one", ["The old stone bridge opened in 1932."]), ("two", ["In 1932 the old stone bridge opened.", "Rain fell all week."])):
+        (tmp_path / run).write_text(json.dumps([{"text": t, "provenance": {"execution_id": run, "agent_id": "A", "round": r, "channel": "output"}} for r, t in enumerate(texts, 1)]))
+        assert main(["extract", out(run), "-o", out(f"m-{run}")]) == 0
+    assert main(["match", out("m-one"), "-o", out("s")]) == 0
+    assert main(["match", out("m-two"), "-o", out("s2"), "--store", out("s")]) == 0
+    old = spark.read.parquet(out("s") + "/facts").first().fact_id
+    links = spark.read.parquet(out("s2") + "/mention_fact").join(spark.read.parquet(out("s2") + "/mentions"), "mention_id")
+    assert {r.text: r.fact_id == old for r in links.collect()} == {"In 1932 the old stone bridge opened.": True, "Rain fell all week.": False}
+    assert spark.read.parquet(out("s2") + "/facts").count() == 2

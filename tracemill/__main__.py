@@ -26,15 +26,21 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def match(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Candidates, the deterministic judge, clusters; with --store new mentions keep the ids of registered facts."""
+    """Candidates, the deterministic judge, clusters; with --store mentions that say a registered fact first get its id, and the rest is clustered."""
     m = spark.read.parquet(f"{args.mentions}/mentions").dropDuplicates(["mention_id"]).withColumns({"qualifiers": F.array().cast("array<string>"), "ord": F.col("n").cast("long")})
-    pairs = matching.candidate_pairs(m, threshold=args.threshold, top_k=args.top_k)
+    fresh, linked = m, None
+    if args.store:
+        old = spark.read.parquet(f"{args.store}/facts").select("fact_id", "canonical_text", "polarity")
+        said = pipeline.identify(matching.registry_pairs(m, old, threshold=args.threshold, top_k=args.top_k))
+        linked = matching.registry_links(said.withColumnRenamed("relation", "label")).localCheckpoint()
+        fresh = m.join(linked, "mention_id", "left_anti")
+    pairs = matching.candidate_pairs(fresh, threshold=args.threshold, top_k=args.top_k)
     text = lambda k: m.select(F.col("mention_id").alias(k), F.col("text").alias(f"text_{k}"))
     judged = pipeline.identify(pairs.join(text("a"), "a").join(text("b"), "b")).withColumnRenamed("relation", "label")
-    links = matching.match(m, judged.where("label is not null"))
+    links = matching.match(fresh, judged.where("label is not null"))
     facts = m.select("mention_id", "text", "polarity").join(links, "mention_id").groupBy("fact_id").agg(F.min(F.when(T.make_fact_id(F.col("text")) == F.col("fact_id"), F.col("text"))).alias("canonical_text"), F.min("polarity").alias("polarity"))
     if args.store:
-        old = spark.read.parquet(f"{args.store}/facts").select("fact_id", "canonical_text", "polarity")
+        links = links.unionByName(linked)
         facts = old.unionByName(facts.join(old.select("fact_id"), "fact_id", "left_anti"))
     stores.write_store({"mentions": m, "mention_fact": links, "facts": facts, "relations": judged}, args.output)
     return 0

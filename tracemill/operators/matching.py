@@ -105,6 +105,37 @@ def candidate_pairs(mentions: DataFrame, *, threshold: float = 0.50, top_k: int
     return kept.groupBy("pool", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("sim").alias("sim"))
 
 
+def registry_pairs(mentions: DataFrame, registered: DataFrame, *, threshold: float = 0.70, top_k: int = 12) -> DataFrame:
+    """(a, b, text_a, text_b, sim): for each mention its top_k facts of registered(fact_id, canonical_text), whatever the
+    execution, by the larger of TF-IDF cosine (fitted on both) and token containment, then those at the threshold.
+
+    Each pair of a chunk of mentions and a chunk of facts is a task. Ties go to the smaller fact id.
+    """
+    sides = [mentions.select(F.concat(F.lit("m"), "mention_id").alias("key"), "text"), registered.select(F.concat(F.lit("r"), "fact_id").alias("key"), F.col("canonical_text").alias("text"))]
+    sides = [s.where("key is not null and text is not null").dropDuplicates(["key"]).withColumn("pool", F.lit("all")) for s in sides]
+    chunks = [max(1, -(-s.count() // CHUNK)) for s in sides]
+    both = sides[0].unionByName(sides[1])
+    vectors = tfidf(both, "pool", "key").groupBy("key").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "weight")).alias("v"))
+
+    def spread(side: DataFrame, mine: str, other: str, count: int, first: int, others: int, first_other: int) -> DataFrame:
+        x = side.join(vectors, "key").select("pool", "key", F.col("v.t").alias("terms"), F.col("v.weight").alias("weights"), F.transform(T.tokenize(F.col("text")), lambda w: F.xxhash64(w)).alias("tokens"))
+        x = x.withColumn("chunk", (F.lit(first) + F.pmod(F.xxhash64("key"), F.lit(count))).cast("int"))
+        return x.withColumn(mine, F.col("chunk")).withColumn(other, F.explode(F.sequence(F.lit(first_other), F.lit(first_other + others - 1))))
+
+    rows = spread(sides[0], "ci", "cj", chunks[0], 0, chunks[1], chunks[0]).unionByName(spread(sides[1], "cj", "ci", chunks[1], chunks[0], chunks[0], 0))
+    best = rows.groupBy("pool", "ci", "cj").applyInPandas(_scorer(top_k), "pool string, i string, j string, sim double").where("i like 'm%'")
+    best = best.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.desc("sim"), "j"))).where((F.col("rank") <= top_k) & (F.col("sim") >= threshold))
+    texts = lambda s, k, t: s.select(F.col("key").alias(k), F.col("text").alias(t))
+    named = best.join(texts(sides[0], "i", "text_a"), "i").join(texts(sides[1], "j", "text_b"), "j")
+    return named.select(F.expr("substring(i, 2)").alias("a"), F.expr("substring(j, 2)").alias("b"), "text_a", "text_b", "sim")
+
+
+def registry_links(judged: DataFrame, *, union_min: float = 0.85) -> DataFrame:
+    """(mention_id, fact_id): the closest registered fact b that mention a was judged to equal."""
+    same = judged.where((F.col("label") == "EQUIVALENT") & (F.col("confidence") >= union_min))
+    return same.groupBy(F.col("a").alias("mention_id")).agg(F.min(F.struct((-F.col("confidence")).alias("c"), "b")).alias("x")).select("mention_id", F.col("x.b").alias("fact_id"))
+
+
 def similar_token_sets(mentions: DataFrame, threshold: float, pool: str = "execution_id") -> DataFrame:
     """(pool, a, b, jaccard), a < b, exact: two sets that reach the threshold share one of their rarest tokens,
     of which each brings only as many as it could lack (prefix filtering), so common tokens are never joined on."""
