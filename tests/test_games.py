@@ -36,3 +36,9 @@ def test_classifier_beats_the_majority(spark):
     df = spark.createDataFrame(rows + [("x", None, 1.0, 1.0)], "run string, role string, f double, g double")
     r = classify.leave_one_out(df, "run", "role", ["f", "g"], folds=3).agg(F.sum("n").alias("n"), F.avg("accuracy").alias("a"), F.avg("baseline").alias("b")).first()
     assert r.n == 60 and r.a == pytest.approx(1.0) and r.b < 0.9
+
+
+def test_as_many_folds_as_runs_leave_each_out_alone(spark):
+    rows = [(f"run{i}", "ab"[j % 2], float(j % 2) + i / 100) for i in range(5) for j in range(4)]
+    df = spark.createDataFrame(rows, "run string, role string, f double")
+    assert [r.n for r in classify.leave_one_out(df, "run", "role", ["f"], folds=5).collect()] == [4] * 5
