@@ -1,11 +1,12 @@
-"""Session helpers: table loading, lineage cuts in shared storage, release of dead shuffles."""
+"""Session helpers: table loading, lineage cuts in shared storage, removal of dead shuffles."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,20 +35,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The shared checkpoint folder that the session names; a temporary one only on local masters (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if found is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         sc.setCheckpointDir(found)
     return str(found).rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Lets a write drop its shuffle files when it ends; nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Intermediate tables written to the shared folder, so that a lost executor costs no recomputation.
 
-    ``keep`` writes a plan as Parquet and returns the table read back, which cuts its lineage; ``drop``
-    deletes a table that no later plan reads.
+    ``keep`` writes a plan as Parquet, drops the shuffles of the write and returns the table read back, which
+    cuts its lineage; ``drop`` deletes tables that no later plan reads.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
@@ -57,23 +79,20 @@ class Scratch:
         self.paths: dict[int, str] = {}
         self.n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{self.n}"
+    def path(self) -> str:
         self.n += 1
-        df.write.parquet(path)
+        return f"{self.root}/{self.n}"
+
+    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``by``: a column whose values each get a folder, so that a filter on it reads no other."""
+        path = self.path()
+        with shuffles_dropped(self.spark):
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
             if path := self.paths.pop(id(t), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
-
-    def release(self) -> None:
-        """Lets the context cleaner remove shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+                delete(self.spark, path)
