@@ -6,10 +6,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import components, copies, history, neardup
+from tracemill.llm import _runs, components, copies, history, neardup
 from tracemill.llm._sets import WordSets, agreeing, least_agreeing, low_bits, words
 from tracemill.runtime import Scratch
 
@@ -149,12 +150,63 @@ def test_history_matches_sequential_brute_force(spark):
     assert {tuple(r) for r in history.said_already(f.limit(0), n.where("batch_no = 1")).collect()} == brute_history([], [r for r in new if r[1] == 1])
 
 
-def test_range_search_finds_all_with_a_common_prefix():
+@pytest.mark.parametrize("most", [2, 16])
+def test_leaders_across_batches(spark, most):
+    """Pairs with the first few of a prefix, and what stands behind more, wherever Arrow batches begin."""
+    rng = random.Random(4)
+    rows = [(i, i * 3, [rng.randrange(4)]) for i in range(200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.a, r.b) for r in history.leaders(spark.createDataFrame(rows, "id long, pos long, labels array<long>"), history.MINIMA, most).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    want = set()
+    for p in range(4):
+        ids = [i for i, _, (q,) in rows if q == p]
+        want |= {(a, b) for n, a in enumerate(ids) for b in ids[: min(n, most)]} | {(a, None) for n, a in enumerate(ids) if n > most}
+    assert got == want
+
+
+def test_a_crowd_is_decided_in_order(spark, monkeypatch):
+    """Many texts of one prefix, more than a round compares."""
+    monkeypatch.setattr(history, "LEADERS", 2)
+    base = [f"w{i}" for i in range(12)]
+    new = [(f"m{i:03d}", 1, i, " ".join(base[: 12 - i % 5] + [f"x{i % 7}", f"y{i}"])) for i in range(60)]
+    n = spark.createDataFrame([(b, m, o, t) for m, b, o, t in new], "batch_no int, mention_id string, ord long, text string")
+    f = spark.createDataFrame([], "ord long, fact_id string, canonical_text string")
+    assert {tuple(r) for r in history.said_already(f, n).collect()} == brute_history([], new)
+
+
+def test_forest_is_opened_again_and_reads_what_a_batch_hits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "LABEL_GROUP", 64)
+    monkeypatch.setattr(history, "TEXT_GROUP", 16)
+    texts = _texts(7, 3000)
+    read = []
+    for n in (400, 4000):
+        facts = [(i, fact_id(t), t) for i, (_, t) in enumerate(texts[:n])]
+        batches = [[(f"m{b}{k}", b, k, t) for k, (_, t) in enumerate(texts[at : at + 20] + texts[4500 + at : 4510 + at])] for b, at in ((1, 100), (2, 300))]
+        f = spark.createDataFrame(facts, "ord long, fact_id string, canonical_text string")
+        path = f"file://{tmp_path}/{n}"
+        frame = lambda rows: spark.createDataFrame([(b, m, o, t) for m, b, o, t in rows], "batch_no int, mention_id string, ord long, text string")
+        got = history.said_already(f, frame(batches[0]), path=path).collect()
+        forest = history.HashForest.open(spark, path)
+        got += history.check_batches(forest, frame(batches[1])).collect()
+        assert {tuple(r) for r in got} == brute_history(facts, batches[0] + batches[1])
+        read.append(forest.rows_read.value)
+    print("rows read by a batch at 400 and 4,000 facts", read)
+    assert read[1] < 3 * read[0]
+
+
+def test_range_search_finds_all_with_a_common_prefix(spark, tmp_path):
     rng = np.random.default_rng(1)
-    labels = np.sort(rng.integers(0, 2**63, 3000, dtype=np.uint64) >> np.uint64(40) << np.uint64(40))
-    q = rng.choice(labels, 50)
-    got = {(int(a), int(b)) for x, y in history.range_search(labels, q, 2, chunk=100) for a, b in zip(x, y)}
-    assert got == {(i, j) for i in range(50) for j in range(3000) if q[i] >> np.uint64(48) == labels[j] >> np.uint64(48)}
+    keys = rng.integers(0, 1 << 54, 3000) >> 40 << 40
+    spark.createDataFrame([(0, int(k), i) for i, k in enumerate(keys)], "part int, key long, i long").createOrReplaceTempView("runs")
+    files = _runs.write_run(spark.table("runs"), f"file://{tmp_path}/r", 1, 100)
+    q = np.sort(rng.choice(keys, 50))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(50, np.int32)), pa.array(q)], ["file", "key"])
+    got = [(int(a), rows.column("i")[int(b)].as_py()) for _, x, rows, y in _runs.range_search(iter([batch]), files, None, history.prefix_ranges(1)) for a, b in zip(x, y)]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j) for i in range(50) for j in range(3000) if q[i] >> 45 == keys[j] >> 45}
     assert history.depth_for(0.99) >= history.depth_for(0.7) >= 1
 
 

@@ -110,7 +110,6 @@ def group_members(pairs: DataFrame, sets: DataFrame, members: DataFrame) -> Data
     star = held.join(first, "set_id").select("u", F.col("n").alias("v"))
     roots = grid_components(linked.unionByName(star), scratch)
     named = scratch.keep(roots.join(known, roots.v == known.n).select("id", "root"))
-    scratch.release()
     smallest = named.groupBy("root").agg(F.min("id").alias("group_id"))
     return named.join(smallest, "root").select("id", "group_id")
 

@@ -104,7 +104,6 @@ def collapse(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     rows = scratch.keep(records)
     groups = rows.groupBy("tbl", "digest").agg(F.min("row_no").alias("first_row_no"), F.max("row_no").alias("last_row_no"), F.min("structure").alias("low"), F.max("structure").alias("high"))
     groups = scratch.keep(groups.where("first_row_no < last_row_no").withColumn("split", F.col("low") != F.col("high")).drop("low", "high"))
-    scratch.release()
     whole = groups.where("not split").select("tbl", "digest", F.lit(None).cast("string").alias("structure"), "first_row_no", "last_row_no")
     split = rows.join(groups.where("split").select("tbl", "digest"), ["tbl", "digest"], "left_semi")
     split = split.groupBy("tbl", "digest", "structure").agg(F.min("row_no").alias("first_row_no"), F.max("row_no").alias("last_row_no")).where("first_row_no < last_row_no")

@@ -210,17 +210,14 @@ def near_duplicate_groups(texts: DataFrame, *, key: str = "key", column: str = "
     bands, width = plan_bands(rows, threshold, recall)
     least = least_agreeing(threshold)
     found = scratch.keep(candidates(band_entries(sets, bands, width, max(1, math.ceil(rows / PART))), least))
-    scratch.release()
     words = lambda pairs: sets.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("words").alias("words"))
     pairs = scratch.keep(found.where("b is not null").select("a", "b").distinct())
     links = scratch.keep(checked(pairs, words(pairs), threshold))
-    scratch.release()
     roots = scratch.keep(grid_components(links, scratch))
     rest = found.where("b is null")
     if rest.take(1):
         pairs = scratch.keep(search_again(rest, roots, least))
         roots = scratch.keep(grid_components(links.unionByName(checked(pairs, words(pairs), threshold)), scratch))
-    scratch.release()
     named = sets.select("key", "id").distinct().join(roots, F.col("id") == F.col("v"), "left").select("key", F.coalesce("root", "id").alias("root"))
     named = scratch.keep(named)
     groups = named.groupBy("root").agg(F.min("key").alias("group"), F.count("*").alias("n")).where("n > 1").drop("n")
