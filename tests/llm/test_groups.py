@@ -163,7 +163,7 @@ def test_leaders_across_batches(spark, most):
     want = set()
     for p in range(4):
         ids = [i for i, _, (q,) in rows if q == p]
-        want |= {(a, b) for n, a in enumerate(ids) for b in ids[: min(n, most)]} | {(a, None) for n, a in enumerate(ids) if n > most}
+        want |= {(a, b) for n, a in enumerate(ids) for b in ids[: min(n, most)]} | {(a, None) for n, a in enumerate(ids) if n >= most}
     assert got == want
 
 
@@ -171,7 +171,7 @@ def test_a_crowd_is_decided_in_order(spark, monkeypatch):
     """Many texts of one prefix, more than a round compares."""
     monkeypatch.setattr(history, "LEADERS", 2)
     base = [f"w{i}" for i in range(12)]
-    new = [(f"m{i:03d}", 1, i, " ".join(base[: 12 - i % 5] + [f"x{i % 7}", f"y{i}"])) for i in range(60)]
+    new = [(f"m{i:03d}", 1, i, " ".join(base[: 12 - i % 5] + [f"x{i % 7}", f"y{i * 7 % 60}"])) for i in range(60)]
     n = spark.createDataFrame([(b, m, o, t) for m, b, o, t in new], "batch_no int, mention_id string, ord long, text string")
     f = spark.createDataFrame([], "ord long, fact_id string, canonical_text string")
     assert {tuple(r) for r in history.said_already(f, n).collect()} == brute_history([], new)
