@@ -100,6 +100,33 @@ def test_near_duplicate_groups_match_brute_force(spark):
     assert neardup.near_duplicate_groups(df.limit(0), threshold=0.7).count() == 0
 
 
+def test_hot_buckets_in_pieces_lose_no_link(spark, monkeypatch):
+    """A third of the texts share their bands; buckets are cut into pieces and compared again in small tasks."""
+    monkeypatch.setattr(neardup, "HOT", 60)
+    monkeypatch.setattr(neardup, "PART", 40)
+    base = [f"w{i}" for i in range(40)]
+    rows = _texts(8, 60) + [(f"h{i}", " ".join([*base[: 40 - i % 9], f"x{i}"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "key string, text string")
+    scratch = Scratch(spark, "t")
+    signed = scratch.keep(neardup.signatures(neardup.set_table(df, "key", "text")))
+    bands = neardup.plan_bands(len(rows), 0.7)
+    assert neardup.hot_slots(signed, bands, 60)
+    got = {r.key: r.group for r in neardup.near_duplicate_groups(df, threshold=0.7).collect()}
+    sets = {k: set(words(t)) for k, t in rows}
+    assert got == closure([(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.7])
+    rest = spark.createDataFrame([(i, 1, i % 3, 0) for i in range(50)], "a long, bucket long, low long, high long")
+    roots = spark.createDataFrame([(i, 100 + (i < 45)) for i in range(50)], "v long, root long")
+    pairs = {tuple(r) for r in neardup.search_again(rest, roots, 128, crowd=4).collect()}
+    assert pairs == {(a, b) for a in range(45) for b in range(45, 50) if a % 3 == b % 3}
+
+
+def test_more_texts_take_more_bands_not_more_minima():
+    for rows in (10**5, 10**6, 10**8, 10**9):
+        bands = neardup.plan_bands(rows, 0.7)
+        print(rows, len(bands), "bands of", len(bands[0]), "shuffled at once, bytes a text:", 28 * min(neardup.WAVE, len(bands)), "in all:", 28 * len(bands))
+        assert all(len(set(b)) == len(b) and max(b) < 128 for b in bands)
+
+
 def test_crowded_buckets_are_searched_to_the_end():
     rng = np.random.default_rng(0)
     bits = np.repeat(rng.integers(0, 2**63, (2, 2), dtype=np.uint64), 300, axis=0)  # two crowds of equal sketches
