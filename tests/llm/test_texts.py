@@ -118,6 +118,53 @@ def test_leaks_beside_rare_words(spark, n):
         assert {(r.doc_id, r.item_id) for r in leakage.leaks(df, ev, paraphrases=paraphrases).collect() if r.exact} == want
 
 
+def test_leaks_of_few_and_of_frequent_words(spark):
+    """Planted runs in a language of 60 words, and of items that are mostly function words, among rare filler."""
+    rng = random.Random(12)
+    few = [f"v{k}" for k in range(60)]
+    item = " ".join(rng.choice(few) for _ in range(40))
+    docs = [" ".join(rng.choice(few) for _ in range(60)) for _ in range(400)]
+    for d in range(40):
+        s = rng.randrange(28)
+        docs[d] += " " + " ".join(item.split()[s : s + 13]) + " " + rng.choice(few)
+    ev = spark.createDataFrame([(1, item, None)], "item_id long, text string, answer string")
+    got = leakage.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), ev, paraphrases=False)
+    assert {r.doc_id for r in got.where("exact").collect()} == set(range(40))
+
+    words = ["the", "of", "and", "to", "in", "that"]
+    item = " ".join(rng.choice(words) if rng.random() < 0.6 else f"name{k}" for k in range(60))
+    docs = [" ".join(rng.choice(words) if rng.random() < 0.5 else f"rare{d}x{k}" for k in range(80)) for d in range(300)]
+    for d in range(40):
+        s = rng.randrange(48)
+        docs[d] += " " + " ".join(item.split()[s : s + 13]) + f" rare{d}"
+    ev = spark.createDataFrame([(1, item, None)], "item_id long, text string, answer string")
+    got = leakage.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), ev, paraphrases=False)
+    assert {r.doc_id for r in got.where("exact").collect()} == set(range(40))
+
+
+def test_recall_of_paraphrases(spark):
+    """Passages with words replaced, dropped and put in, so that no 13 words stand together; at least nine of ten are found."""
+    rng = random.Random(15)
+    vocabulary = [f"word{k}" for k in range(3000)]
+    function = ["the", "of", "and", "to", "in", "is"]
+    sentence = lambda n: [rng.choice(function) if rng.random() < 0.45 else rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, sentence(52)) for i in range(20)]
+    docs, want = [" ".join(sentence(150)) for _ in range(300)], set()
+    for d in range(100):
+        i, words = items[d % 20]
+        said = []
+        for k, w in enumerate(words):
+            change = rng.random() if k % 6 == 3 or rng.random() < 0.08 else 1
+            said += [] if change < 0.2 else [rng.choice(vocabulary)] if change < 0.8 else [w, rng.choice(function)] if change < 1 else [w]
+        docs[d] = " ".join([*sentence(40), *said, *sentence(40)])
+        want.add((d, i))
+    ev = spark.createDataFrame([(i, " ".join(w), None) for i, w in items], "item_id long, text string, answer string")
+    got = {(r.doc_id, r.item_id): r.exact for r in leakage.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), ev).collect()}
+    found = len(want & got.keys())
+    print("paraphrases found", found, "of", len(want), "others", len(got.keys() - want))
+    assert found >= 90 and not any(got.values()) and len(got.keys() - want) <= 5
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 10_000), st.integers(3, 60))
 def test_flight_keeps_totals(seed, n):
