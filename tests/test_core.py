@@ -12,7 +12,7 @@ from tracemill.operators import matching, pipeline, stats
 from tracemill.operators.base import Trace
 from tracemill.operators.centrality import brandes
 from tracemill.operators.components import connected
-from tracemill.plans import lifecycle as L
+from tracemill.plans import catalogue, lifecycle as L
 from tracemill.sources import stores
 from tracemill.streaming import registry
 
@@ -115,12 +115,34 @@ def test_uses_partition_what_was_said(spark, store):
     assert L.funnel(t).first().asDict() == {"execution_id": "e", "exposed": 1, "adopted": 1, "retained": 1}
 
 
-@pytest.mark.parametrize("local", [0, 500_000])
+@pytest.mark.parametrize("local", [1, 200_000])
 def test_components_on_chains_stars_and_pairs(spark, local):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
-    got = {r.id: r.root for r in connected(spark.createDataFrame(edges, "u long, v long"), local_edges=local).collect()}
+    got = {r.id: r.root for r in connected(spark.createDataFrame(edges, "u long, v long"), chunk=local).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
-    assert connected(spark.createDataFrame([], "u long, v long"), local_edges=local).count() == 0
+    assert connected(spark.createDataFrame([], "u long, v long"), chunk=local).count() == 0
+
+
+def test_wording_is_shuffled_only_where_it_is_asked_for(spark):
+    """No quote, qualifiers or text in an exchange, but for the evidence that is joined by its text."""
+
+    def nodes(p):
+        yield p
+        children = p.children()
+        for i in range(children.size()):
+            yield from nodes(children.apply(i))
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            yield from nodes(p.initialPlan())
+
+    wide = {}
+    for name in ("trajectory_mean", "signature", "fact_classes", "compressed_flow", "flow_profile", "funnel", "stats", "of_q5_coverage", "j_relation_lift", "ec_temporal", "gold_coverage", "grounding", "chain_path", "ii_overlap"):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        for p in nodes(plan):
+            if p.getClass().getSimpleName() == "ShuffleExchangeExec":
+                out = p.output()
+                wide.setdefault(name, set()).update({out.apply(i).name() for i in range(out.size())} & {"quote", "qualifiers", "text"})
+        assert "mentions.parquet" not in plan.toString(), name
+    assert not any(wide.values())
 
 
 def test_betweenness():

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tracemill.functions import text as T
-from tracemill.runtime import table
+from tracemill.runtime import materialised, table
 
 
 class Trace:
@@ -24,33 +24,53 @@ class Trace:
 
     @cached_property
     def mentions(self) -> DataFrame:
-        """Mentions with the fact each stands for: the one whose row lists it, else the fact its own text makes."""
-        m = self.raw("mentions").where("mention_id is not null").select("mention_id", "text", "polarity", "quote", "qualifiers", "execution_id", "agent_id", "round", "channel", "doc_id", "ord").distinct()
-        return m.join(self.bridge, "mention_id", "left").withColumn("fact_id", F.coalesce("fact_id", T.make_fact_id(F.col("text"))))
+        """Mentions without their wording, each with the fact it stands for: the one whose row lists it, else the
+        fact its own text makes. Written once: texts are read and hashed in that scan only and never shuffled."""
+
+        def build() -> DataFrame:
+            m = self.raw("mentions").where("mention_id is not null").select("mention_id", "polarity", "execution_id", "agent_id", "round", "channel", "doc_id", "ord", T.make_fact_id(F.col("text")).alias("made")).distinct()
+            return m.join(self.bridge, "mention_id", "left").withColumn("fact_id", F.coalesce("fact_id", "made")).drop("made")
+
+        return materialised(self.spark, self.sf_dir, "mentions", ("mentions", "facts"), build)
 
     @cached_property
     def bridge(self) -> DataFrame:
         return self.raw("facts").select(F.explode("mention_ids").alias("mention_id"), "fact_id").groupBy("mention_id").agg(F.min("fact_id").alias("fact_id"))
 
+    def texts(self, *columns: str) -> DataFrame:
+        """mention_id and these columns of the raw table, a row a mention; the scan reads no other."""
+        return self.raw("mentions").where("mention_id is not null").groupBy("mention_id").agg(*(F.min(c).alias(c) for c in columns))
+
+    def worded(self, *columns: str) -> DataFrame:
+        """``mentions`` with these columns of the raw table."""
+        return self.texts(*columns).join(self.mentions, "mention_id")
+
+    def _records(self, channel: str) -> DataFrame:
+        p = {c: F.col(f"provenance.{c}").alias(c) for c in ("execution_id", "agent_id", "round", "channel", "doc_id")}
+        r = self.raw("trace_records").where("record_no is not null").where(F.col("provenance.channel") == channel)
+        return r.select("record_no", "text", *p.values(), F.col("provenance.extra")["gold"].alias("gold"), F.col("provenance.extra")["from"].alias("sent"))
+
     @cached_property
     def records(self) -> DataFrame:
-        r = self.raw("trace_records").where("record_no is not null")
-        return r.select("record_no", "text", F.col("provenance.execution_id").alias("execution_id"), F.col("provenance.agent_id").alias("agent_id"), F.col("provenance.round").alias("round"), F.col("provenance.channel").alias("channel"), F.col("provenance.doc_id").alias("doc_id"), F.col("provenance.extra")["gold"].alias("gold"), F.col("provenance.extra")["from"].alias("sent")).distinct()
+        """Records without their texts."""
+        p = [F.col(f"provenance.{c}").alias(c) for c in ("execution_id", "agent_id", "round", "channel", "doc_id")]
+        return self.raw("trace_records").where("record_no is not null").select("record_no", *p, F.col("provenance.extra")["gold"].alias("gold")).distinct()
 
     @cached_property
     def turns(self) -> DataFrame:
-        return self.records.where("channel = 'output' and agent_id is not null and round > 0").select("record_no", "execution_id", "agent_id", "round", "text")
+        t = self._records("output").where("agent_id is not null and round > 0")
+        return t.groupBy("record_no").agg(*(F.min(c).alias(c) for c in ("execution_id", "agent_id", "round", "text")))
 
     @cached_property
     def deliveries(self) -> DataFrame:
         """Which earlier turn an agent had in its context in a round."""
-        d = self.records.where("channel = 'context' and sent is not null and agent_id is not null and round > 0")
+        d = self._records("context").where("sent is not null and agent_id is not null and round > 0")
         parts = F.split("sent", r"\|")
         return d.select("execution_id", F.col("agent_id").alias("listener"), "round", parts[0].alias("speaker"), parts[1].cast("int").alias("sent_round")).distinct()
 
     @cached_property
     def gold_docs(self) -> DataFrame:
-        return self.records.where("channel = 'source' and gold = 'true' and doc_id is not null").select("execution_id", "doc_id").distinct()
+        return self._records("source").where("gold = 'true' and doc_id is not null").select("execution_id", "doc_id").distinct()
 
     @cached_property
     def debates(self) -> DataFrame:

@@ -145,7 +145,7 @@ CRITICAL = ", ev AS (SELECT DISTINCT execution_id, unnest(evidence) AS e FROM de
 def j_critical_pair(t: Trace) -> DataFrame:
     """Turns that hold both of a debate's first two pieces of evidence, and the first of them."""
     ev = t.raw("debates").select("execution_id", F.explode("evidence").alias("e")).distinct().select("execution_id", "e.id", "e.text")
-    src = t.mentions.where("channel = 'source'").groupBy("execution_id", "text").agg(F.min("fact_id").alias("fact_id"))
+    src = t.worded("text").where("channel = 'source'").groupBy("execution_id", "text").agg(F.min("fact_id").alias("fact_id"))
     cp = ev.join(src, ["execution_id", "text"]).withColumn("i", F.row_number().over(W.partitionBy("execution_id").orderBy("id"))).where("i <= 2")
     sl = t.said.join(cp.select("execution_id", "fact_id", "i"), ["execution_id", "fact_id"]).groupBy("execution_id", "agent_id", "round").agg(F.countDistinct("i").alias("n")).where("n = 2")
     return sl.groupBy("execution_id").agg(F.min("round").alias("join_round"), F.min(F.struct("round", "agent_id")).agent_id.alias("join_agent"), F.count("*").alias("slots"))
@@ -225,7 +225,7 @@ def j_label_fallback(t: Trace) -> DataFrame:
     """A label by the mention's fact, else by its text."""
     l = t.raw("facts").select("fact_id", "canonical_text").distinct()  # noqa: E741
     by_text = l.groupBy(F.col("canonical_text").alias("text")).agg(F.min("fact_id").alias("l2"))
-    m = t.mentions.join(l.select("fact_id").distinct().withColumn("l1", F.col("fact_id")), "fact_id", "left").join(by_text, "text", "left")
+    m = t.worded("text").join(l.select("fact_id").distinct().withColumn("l1", F.col("fact_id")), "fact_id", "left").join(by_text, "text", "left")
     return m.select("mention_id", F.coalesce("l1", "l2").alias("label"))
 
 

@@ -15,7 +15,7 @@ WORDKEY = "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || '|
 
 @query(f", k AS (SELECT execution_id, mention_id, {WORDKEY} AS key FROM m), f AS (SELECT execution_id, key, min(mention_id) AS first_id FROM k WHERE execution_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) SELECT execution_id, mention_id, first_id FROM k JOIN f USING (execution_id, key)")
 def j_exact_first(t: Trace) -> DataFrame:
-    return matching.exact_pairs(t.mentions)
+    return matching.exact_pairs(t.worded("text"))
 
 
 SIMILAR = f", w AS (SELECT execution_id, mention_id, polarity, {tokens_sql('text')} AS w FROM m), sp AS (SELECT x.execution_id, x.mention_id AS a, y.mention_id AS b, x.polarity AS pa, y.polarity AS pb, len(list_intersect(x.w, y.w)) AS n, len(x.w) AS na, len(y.w) AS nb FROM w x JOIN w y ON x.execution_id = y.execution_id AND x.mention_id < y.mention_id AND least(len(x.w), len(y.w)) >= 0.8 * greatest(len(x.w), len(y.w))), sj AS (SELECT *, n * 1.0 / (na + nb - n) AS jaccard FROM sp)"
@@ -23,27 +23,27 @@ SIMILAR = f", w AS (SELECT execution_id, mention_id, polarity, {tokens_sql('text
 
 @query(SIMILAR + " SELECT execution_id, a, b, round(jaccard, 6) AS jaccard FROM sj WHERE jaccard >= 0.8 - 1e-9")
 def j_partitioned_block(t: Trace) -> DataFrame:
-    return matching.similar_token_sets(t.mentions, 0.8).withColumn("jaccard", r6("jaccard"))
+    return matching.similar_token_sets(t.worded("text"), 0.8).withColumn("jaccard", r6("jaccard"))
 
 
 @query(SIMILAR + " SELECT execution_id, a, b, CASE WHEN pa <> pb THEN 'CONTRADICTS' ELSE 'EQUIVALENT' END AS relation FROM sj WHERE jaccard >= 0.8 - 1e-9")
 def light_match(t: Trace) -> DataFrame:
-    return matching.light_match(t.mentions)
+    return matching.light_match(t.worded("text"))
 
 
 @query()
 def candidate_pairs(t: Trace) -> DataFrame:
-    return matching.candidate_pairs(t.mentions).withColumn("sim", F.round("sim", 4))
+    return matching.candidate_pairs(t.worded("text")).withColumn("sim", F.round("sim", 4))
 
 
 @query()
 def match(t: Trace) -> DataFrame:
-    return matching.match(t.mentions, t.judged)
+    return matching.match(t.worded("text", "qualifiers"), t.judged)
 
 
 @query("SELECT fact_id, mention_id FROM (SELECT fact_id, mention_id, row_number() OVER (PARTITION BY fact_id ORDER BY channel <> 'source', -coalesce(len(qualifiers), 0), -length(text), ord, mention_id) AS r FROM m) WHERE r = 1")
 def pick_canonical(t: Trace) -> DataFrame:
-    return matching.pick_canonical(t.mentions, "fact_id")
+    return matching.pick_canonical(t.worded("text", "qualifiers"), "fact_id")
 
 
 @query("SELECT fact_id, mention_id, row_number() OVER (PARTITION BY fact_id ORDER BY ord, mention_id) AS r FROM m QUALIFY r <= 3")
@@ -56,7 +56,7 @@ def s_limit_examples(t: Trace) -> DataFrame:
 @query(f", k AS (SELECT execution_id, agent_id, round, channel, {fact_id_sql('text')} AS norm_id, mention_id FROM m) SELECT execution_id, agent_id, round, channel, norm_id, min(mention_id) AS mention_id, count(*) AS copies FROM k GROUP BY 1, 2, 3, 4, 5")
 def dedup_turns(t: Trace) -> DataFrame:
     """One mention for each text of a slot."""
-    return t.mentions.groupBy("execution_id", "agent_id", "round", "channel", T.make_fact_id(F.col("text")).alias("norm_id")).agg(F.min("mention_id").alias("mention_id"), F.count("*").alias("copies"))
+    return t.worded("text").groupBy("execution_id", "agent_id", "round", "channel", T.make_fact_id(F.col("text")).alias("norm_id")).agg(F.min("mention_id").alias("mention_id"), F.count("*").alias("copies"))
 
 
 # A matcher that calls a judged pair the same when token containment reaches a cut, against the judges' labels.
@@ -64,7 +64,7 @@ SCORED = f", tk AS (SELECT mention_id, {tokens_sql('text')} AS w FROM m), pr AS
 
 
 def _scored(t: Trace) -> DataFrame:
-    of = lambda x: t.mentions.select(F.col("mention_id").alias(x), T.tokenize(F.col("text")).alias(f"w{x}"))
+    of = lambda x: t.texts("text").select(F.col("mention_id").alias(x), T.tokenize(F.col("text")).alias(f"w{x}"))
     p = t.judged.select("a", "b", "label").distinct().join(of("a"), "a").join(of("b"), "b").select("label", T.containment(F.col("wa"), F.col("wb")).alias("s"))
     p = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20))))
     return p.select("k", "label", (F.col("s") >= F.col("k") * 0.05 - 1e-9).alias("said_same"), (F.col("label") == "EQUIVALENT").alias("gold"))

@@ -16,17 +16,17 @@ def _q(pattern: str) -> str:
 @query(f"SELECT mention_id, {norm_sql('text')} AS norm, regexp_replace({norm_sql('text')}, '\\.+$', '') AS rstripped, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS ascii_key FROM m")
 def norm_text(t: Trace) -> DataFrame:
     c = F.col("text")
-    return t.mentions.select("mention_id", T.norm_text(c).alias("norm"), T.norm_text_rstrip(c).alias("rstripped"), T.norm_ascii(c).alias("ascii_key"))
+    return t.texts("text").select("mention_id", T.norm_text(c).alias("norm"), T.norm_text_rstrip(c).alias("rstripped"), T.norm_ascii(c).alias("ascii_key"))
 
 
 @query("SELECT mention_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS word_key, polarity FROM m")
 def norm_word(t: Trace) -> DataFrame:
-    return t.mentions.select("mention_id", T.norm_word(F.col("text")).alias("word_key"), "polarity")
+    return t.texts("text", "polarity").select("mention_id", T.norm_word(F.col("text")).alias("word_key"), "polarity")
 
 
 @query(f"SELECT mention_id, {fact_id_sql('text')} AS made_id FROM m")
 def make_fact_id(t: Trace) -> DataFrame:
-    return t.mentions.select("mention_id", T.make_fact_id(F.col("text")).alias("made_id"))
+    return t.texts("text").select("mention_id", T.make_fact_id(F.col("text")).alias("made_id"))
 
 
 _QUOTED = "CASE WHEN {x} IS NULL THEN 'None' ELSE '''' || {x} || '''' END"
@@ -34,7 +34,7 @@ _QUOTED = "CASE WHEN {x} IS NULL THEN 'None' ELSE '''' || {x} || '''' END"
 
 @query("SELECT mention_id, 'm_' || substr(sha1(text || '|(' || " + _QUOTED.format(x="execution_id") + " || ', ' || " + _QUOTED.format(x="agent_id") + " || ', ' || coalesce(CAST(round AS VARCHAR), 'None') || ', ' || " + _QUOTED.format(x="channel") + " || ')'), 1, 16) AS made_id FROM m")
 def make_mention_id(t: Trace) -> DataFrame:
-    return t.mentions.select("mention_id", T.make_mention_id(F.col("text"), F.col("execution_id"), F.col("agent_id"), F.col("round"), F.col("channel")).alias("made_id"))
+    return t.worded("text").select("mention_id", T.make_mention_id(F.col("text"), F.col("execution_id"), F.col("agent_id"), F.col("round"), F.col("channel")).alias("made_id"))
 
 
 @query("SELECT fact_id, ord, sha256(canonical_text || '|' || polarity) AS digest FROM (SELECT DISTINCT fact_id, ord, canonical_text, polarity FROM facts)")
@@ -45,14 +45,14 @@ def make_cache_key(t: Trace) -> DataFrame:
 
 @query(f"SELECT mention_id, array_to_string({tokens_sql('text')}, ' ') AS tokens FROM m")
 def tokenize_stem(t: Trace) -> DataFrame:
-    return t.mentions.select("mention_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))
+    return t.texts("text").select("mention_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))
 
 
 PAIRS = f", tk AS (SELECT mention_id, {tokens_sql('text')} AS w FROM m), pr AS (SELECT jd.a, jd.b, x.w AS wa, y.w AS wb, len(list_intersect(x.w, y.w)) AS n FROM (SELECT DISTINCT a, b FROM jd) jd JOIN tk x ON x.mention_id = jd.a JOIN tk y ON y.mention_id = jd.b)"
 
 
 def _pairs(t: Trace) -> DataFrame:
-    of = lambda x: t.mentions.select(F.col("mention_id").alias(x), T.tokenize(F.col("text")).alias(f"w{x}"))
+    of = lambda x: t.texts("text").select(F.col("mention_id").alias(x), T.tokenize(F.col("text")).alias(f"w{x}"))
     return t.judged.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
 
 
@@ -77,7 +77,7 @@ FLAGS = {"looks_joined": T.JOINED, "rx_quantified": T.QUANTIFIED, "rx_source_met
 def _flag(name: str, pattern: str) -> None:
     @query(f"SELECT mention_id FROM m WHERE regexp_matches(text, '{_q(pattern)}')", name=name)
     def rows(t: Trace) -> DataFrame:
-        return t.mentions.where(F.col("text").rlike(pattern)).select("mention_id")
+        return t.texts("text").where(F.col("text").rlike(pattern)).select("mention_id")
 
 
 for _name, _pattern in FLAGS.items():
@@ -86,7 +86,7 @@ for _name, _pattern in FLAGS.items():
 
 @query(f"SELECT mention_id FROM m WHERE regexp_matches(text, '{_q(T.UNRESOLVED)}') AND NOT regexp_matches(text, '{_q(T.RESOLVED_INLINE)}') AND NOT regexp_matches(text, '{_q(T.QUANTIFIED)}')")
 def rx_unresolved(t: Trace) -> DataFrame:
-    return t.mentions.where(T.unresolved(F.col("text"))).select("mention_id")
+    return t.texts("text").where(T.unresolved(F.col("text"))).select("mention_id")
 
 
 @query(f"SELECT kind, count(*) AS flags FROM (SELECT 'quantified-aggregate' AS kind, canonical_text FROM f WHERE regexp_matches(canonical_text, '{_q(T.QUANTIFIED)}') UNION ALL SELECT 'unresolved-referent', canonical_text FROM f WHERE regexp_matches(canonical_text, '{_q(T.UNRESOLVED)}') AND NOT regexp_matches(canonical_text, '{_q(T.RESOLVED_INLINE)}') AND NOT regexp_matches(canonical_text, '{_q(T.QUANTIFIED)}') UNION ALL SELECT 'unsplit-conjunction', canonical_text FROM f WHERE regexp_matches(canonical_text, '{_q(T.CONJUNCTION)}') UNION ALL SELECT 'source-meta', canonical_text FROM f WHERE regexp_matches(canonical_text, '{_q(T.SOURCE_META)}')) GROUP BY 1".join([", f AS (SELECT DISTINCT ord, canonical_text FROM facts) ", ""]))
@@ -99,7 +99,7 @@ def u_audit_summary(t: Trace) -> DataFrame:
 
 @query(f"SELECT execution_id, count(*) AS facts, round(avg(CAST(regexp_matches(text, '(?i)\\b(and|or)\\b') AS DOUBLE)), 6) AS joined FROM m WHERE channel = 'output' GROUP BY 1")
 def dg_conjunction(t: Trace) -> DataFrame:
-    return t.mentions.where("channel = 'output'").groupBy("execution_id").agg(F.count("*").alias("facts"), F.round(F.avg(F.col("text").rlike(r"(?i)\b(and|or)\b").cast("double")), 6).alias("joined"))
+    return t.worded("text").where("channel = 'output'").groupBy("execution_id").agg(F.count("*").alias("facts"), F.round(F.avg(F.col("text").rlike(r"(?i)\b(and|or)\b").cast("double")), 6).alias("joined"))
 
 
 @query(f"SELECT execution_id, number, count(*) AS n FROM (SELECT execution_id, unnest(regexp_extract_all(text, '{T.NUMBER}')) AS number FROM turns) GROUP BY 1, 2")
@@ -168,7 +168,7 @@ SPANS = ", sp AS (SELECT DISTINCT tr.record_no, instr(tr.text, m.quote) AS s, in
 
 
 def _spans(t: Trace) -> DataFrame:
-    q = t.mentions.where("channel = 'output' and quote is not null and quote <> ''").select("execution_id", "agent_id", "round", "quote")
+    q = t.worded("quote").where("channel = 'output' and quote is not null and quote <> ''").select("execution_id", "agent_id", "round", "quote")
     j = q.join(t.turns, ["execution_id", "agent_id", "round"]).withColumn("s", F.expr("instr(text, quote)")).where("s > 0")
     return j.select("record_no", "s", (F.col("s") + F.length("quote")).alias("e")).distinct()
 
@@ -229,4 +229,4 @@ def j_anti_done(t: Trace) -> DataFrame:
 
 @query("SELECT mention_id, text, polarity, execution_id, agent_id, round, channel, doc_id FROM m")
 def strip_store(t: Trace) -> DataFrame:
-    return t.mentions.select("mention_id", "text", "polarity", "execution_id", "agent_id", "round", "channel", "doc_id")
+    return t.worded("text").select("mention_id", "text", "polarity", "execution_id", "agent_id", "round", "channel", "doc_id")

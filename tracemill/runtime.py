@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -76,6 +76,10 @@ class Scratch:
         ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)  # what a result still reads lasts as long as the application
         self.paths: dict[int, str] = {}
         self.n = 0
 
@@ -96,3 +100,21 @@ class Scratch:
         for t in tables:
             if path := self.paths.pop(id(t), None):
                 delete(self.spark, path)
+
+
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files, which change when the table does."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))
+
+
+def materialised(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """A relation that many queries begin with, written once an application and state of the tables it is made of."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, *(fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in tables))
+    if key not in _KEPT:
+        _KEPT[key] = Scratch(spark, name).keep(build())
+    return _KEPT[key]
