@@ -159,3 +159,26 @@ class Trace:
         r = self.received.select("execution_id", F.col("listener").alias("agent_id"), "round", "fact_id").distinct().withColumn("got", F.lit(True))
         u = self.said_at.join(r, ["execution_id", "agent_id", "round", "fact_id"], "left")
         return u.withColumn("use", F.when(F.col("own_first_rk") < F.col("rk"), "held").when(F.col("got"), "adopted").otherwise("novel")).drop("got")
+
+    @cached_property
+    def restatements(self) -> DataFrame:
+        """Judged pairs of output mentions of two rounds of one execution, the earlier one first: kind is equivalent,
+        weaken or strengthen, side is self, peer where the earlier turn was delivered to the later one, or invisible."""
+        of = lambda x: self.mentions.where("channel = 'output' and agent_id is not null and round > 0").select(F.col("mention_id").alias(x), F.col("execution_id").alias(f"x{x}"), F.col("fact_id").alias(f"f{x}"), F.col("agent_id").alias(f"g{x}"), F.col("round").alias(f"r{x}"))
+        j = self.judged.where("label in ('EQUIVALENT', 'A_ENTAILS_B', 'B_ENTAILS_A')").select("a", "b", "label").join(of("a"), "a").join(of("b"), "b").where("xa = xb and ra <> rb")
+        first = F.col("ra") < F.col("rb")
+        pick = lambda c, early, late: [F.when(first, F.col(f"{c}a")).otherwise(F.col(f"{c}b")).alias(early), F.when(first, F.col(f"{c}b")).otherwise(F.col(f"{c}a")).alias(late)]
+        kind = F.when(F.col("label") == "EQUIVALENT", "equivalent").when((F.col("label") == "A_ENTAILS_B") == first, "weaken").otherwise("strengthen")
+        e = j.select(F.col("xa").alias("execution_id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"), *pick("f", "early_fact", "late_fact"), *pick("g", "speaker", "listener"), *pick("r", "sent_round", "round"), kind.alias("kind")).distinct()
+        seen = self.deliveries.withColumn("seen", F.lit(True))
+        e = e.join(seen, ["execution_id", "listener", "round", "speaker", "sent_round"], "left")
+        return e.withColumn("side", F.when(F.col("speaker") == F.col("listener"), "self").when(F.col("seen"), "peer").otherwise("invisible")).drop("seen")
+
+    @cached_property
+    def first_said(self) -> DataFrame:
+        """The round in which each agent first said a fact."""
+        return self.said.groupBy("execution_id", "agent_id", "fact_id").agg(F.min("round").alias("first_round"))
+
+    @cached_property
+    def source_facts(self) -> DataFrame:
+        return self.mentions.where("channel = 'source'").select("execution_id", "fact_id").distinct()
