@@ -32,7 +32,7 @@ def match(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.store:
         old = spark.read.parquet(f"{args.store}/facts").select("fact_id", "canonical_text", "polarity")
         said = pipeline.identify(matching.registry_pairs(m, old, threshold=args.threshold, top_k=args.top_k))
-        linked = matching.registry_links(said.withColumnRenamed("relation", "label")).localCheckpoint()
+        linked = matching.kept(matching.registry_links(said.withColumnRenamed("relation", "label")), "linked")
         fresh = m.join(linked, "mention_id", "left_anti")
     pairs = matching.candidate_pairs(fresh, threshold=args.threshold, top_k=args.top_k)
     text = lambda k: m.select(F.col("mention_id").alias(k), F.col("text").alias(f"text_{k}"))

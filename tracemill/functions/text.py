@@ -82,17 +82,49 @@ def slot_label(channel: Column, agent: Column, round_: Column) -> Column:
 
 
 def last_line(c: Column, marker: str, limit: int = 120) -> Column:
-    """What follows the marker in the last line that begins with it, else the last line, cut to a limit."""
-    lines = F.filter(F.split(c, r"\n"), lambda x: F.trim(x) != "")
-    marked = F.filter(lines, lambda x: F.upper(F.trim(x)).startswith(marker.upper()))
-    return F.when(F.size(marked) > 0, F.trim(F.substring(F.trim(F.try_element_at(marked, F.lit(-1))), len(marker) + 1, 10_000))).otherwise(F.substring(F.trim(F.try_element_at(lines, F.lit(-1))), 1, limit))
+    """What follows the marker in the last line that begins with it, else so many characters of the last line, else nothing."""
+    lines = F.filter(F.transform(F.split(c, r"\r\n|[\n\r]"), lambda x: F.regexp_replace(x, r"^[ \t\n\r]+|[ \t\n\r]+$", "")), lambda x: x != "")
+    marked = F.try_element_at(F.filter(lines, lambda x: F.upper(x).startswith(marker.upper())), F.lit(-1))
+    rest = F.regexp_replace(F.substring(marked, F.lit(len(marker) + 1), F.length(marked)), r"^[ \t]+|[ \t]+$", "")
+    return F.when(marked.isNotNull(), rest).otherwise(F.coalesce(F.substring(F.try_element_at(lines, F.lit(-1)), 1, limit), F.lit("")))
+
+
+#: Fixed patterns: the answer letter, a verdict, openings that leave a referent open, and names of two capitalised words or more.
+ANSWER_LETTER = r"(?i)FINAL ANSWER:\s*\(?([A-J])\)?"
+VERDICT = r"(?i)VERDICT\s*[:：]\s*([A-Za-z_ ]+)"
+FORBIDDEN_OPENERS = r"(?i)^(both|he|she|they|it|this|these|those)\b|^the (series|film|study|book|author|documents?)\s+(is|was|are|were|has|had|consists)"
+_NAME = r"\p{Lu}[\p{L}\p{N}_\x{2019}\-]*"
+_BETWEEN = r"(?:\s+(?:of|for|the|and|in|de|von|van)\s+|\s+)"
+PROPER = rf"(?:^|[^\p{{L}}\p{{N}}_])({_NAME}(?:{_BETWEEN}{_NAME})+)"
+
+
+def answer_letter(c: Column) -> Column:
+    return F.coalesce(F.upper(F.try_element_at(F.regexp_extract_all(c, F.lit(ANSWER_LETTER), F.lit(1)), F.lit(-1))), F.lit(""))
+
+
+def verdict(c: Column) -> Column:
+    return F.upper(F.trim(F.regexp_extract(c, VERDICT, 1)))
+
+
+def proper_spans(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(PROPER), F.lit(1))
+
+
+def without_shared_names(a: Column, b: Column) -> tuple[Column, Column]:
+    """Both texts, lower-cased, without the names that both hold, the longest taken out first."""
+    low = lambda c: F.transform(proper_spans(c), lambda s: F.lower(s))
+    names = F.array_sort(F.transform(F.array_intersect(low(a), low(b)), lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
+    cut = lambda c: F.aggregate(names, F.lower(c), lambda text, n: F.replace(text, n["s"], F.lit(" ")))
+    return cut(a), cut(b)
 
 
 def shorten(c: Column, limit: int) -> Column:
-    """Cut at the last sentence end under the limit, else after the last whole word with an ellipsis."""
-    head = F.substring(c, 1, limit)
-    sentence = F.regexp_extract(head, r"(?s)^(.*[.!?])(?:\s|$)", 1)
-    return F.when(F.length(c) <= limit, c).when(F.length(sentence) > 0, sentence).otherwise(F.concat(F.regexp_replace(head, r"\s+\S*$", ""), F.lit("…")))
+    """Whitespace folded; under the limit as it is, else cut behind the last sentence or clause that ends past half the
+    limit, else after the last whole word, with dots."""
+    text = F.trim(F.regexp_replace(c, WHITESPACE, " "))
+    head = F.substring(text, 1, limit)
+    end = F.greatest(F.length(F.regexp_extract(head, r"^(.*)\. ", 1)) + F.when(head.contains(". "), 1).otherwise(0), F.length(F.regexp_extract(head, r"^(.*); ", 1)) + F.when(head.contains("; "), 1).otherwise(0))
+    return F.when(F.length(text) <= limit, text).when(end - 1 >= limit // 2, F.substring(text, F.lit(1), end)).otherwise(F.concat(F.regexp_replace(head, r" [^ ]*$", ""), F.lit(" ...")))
 
 
 def entail_label(ab: Column, ba: Column, threshold: float) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracemill.functions import text as T
 from tracemill.operators.components import connected
+from tracemill.runtime import Scratch
 
 CHUNK = 512
 
@@ -151,6 +152,25 @@ def similar_token_sets(mentions: DataFrame, threshold: float, pool: str = "execu
     return scored.where(F.col("jaccard") >= threshold - 1e-9).select(pool, "a", "b", "jaccard")
 
 
+def strict_subsets(sets: DataFrame, pool: str = "execution_id", key: str = "fact_id") -> DataFrame:
+    """(pool, small, large): the words of small, two at least, all stand in large, which has more. sets(pool, key, w).
+
+    A set that holds another holds its rarest word, so sets meet on the rarest word of the smaller one only.
+    """
+    words = sets.select(pool, key, F.explode("w").alias("word"))
+    df = words.groupBy(pool, "word").agg(F.count("*").alias("df"))
+    rarest = words.join(df, [pool, "word"]).groupBy(pool, key).agg(F.min(F.struct("df", "word")).alias("r")).select(pool, key, F.col("r.word").alias("word"))
+    small = sets.where(F.size("w") >= 2).join(rarest, [pool, key]).select(pool, "word", F.col(key).alias("small"), F.col("w").alias("sw"))
+    large = words.select(pool, "word", F.col(key).alias("large"))
+    met = small.join(large, [pool, "word"]).join(sets.select(pool, F.col(key).alias("large"), F.col("w").alias("lw")), [pool, "large"])
+    return met.where((F.size("sw") < F.size("lw")) & (F.size(F.array_except("sw", "lw")) == 0)).select(pool, "small", "large")
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """A plan written to the shared folder and read back."""
+    return Scratch(df.sparkSession, tag).keep(df)
+
+
 def exact_pairs(mentions: DataFrame, pool: str = "execution_id") -> DataFrame:
     """(pool, key, mention_id, first_id): mentions whose words and polarity agree, each with the smallest of them.
 

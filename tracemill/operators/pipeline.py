@@ -93,16 +93,25 @@ def atomize(mentions: DataFrame, splitter: Splitter = conjunction_splitter) -> D
     return parts.join(first.select("mention_id"), "mention_id", "left_semi")
 
 
-def containment_judge(pairs: list[tuple[str, str, float]]) -> list[tuple[bool | None, str | None]]:
-    return [(s >= 0.8, None) for _, _, s in pairs]
+#: Token sets that are alike by this much say the same, where no judge is given.
+SAME = 0.80
 
 
-def identify(pairs: DataFrame, judge: Judge = containment_judge, *, batch: int = 16, reject: float = 0.55, accept: float = 0.95) -> DataFrame:
-    """(a, b, relation, confidence, note, status) of pairs(a, b, text_a, text_b, sim): below the reject band UNRELATED
-    and from the accept band EQUIVALENT without asking; the rest by the judge, in batches; a pair the judge leaves
-    out has status missing."""
+def identify(pairs: DataFrame, judge: Judge | None = None, *, batch: int = 16, reject: float = 0.0, accept: float = 1.01) -> DataFrame:
+    """(a, b, relation, confidence, note, status) of pairs(a, b, text_a, text_b, sim).
+
+    The judge is asked in batches, and a pair that it leaves out has status missing. Without a judge, token sets alike
+    by ``SAME`` are equivalent: a similarity of containment, which a vaguer restatement reaches too, decides nothing.
+    The bands are off by default; where set, pairs below ``reject`` are UNRELATED and from ``accept`` on EQUIVALENT unasked.
+    """
     kind = T.band(F.col("sim"), reject, accept)
-    known = pairs.where(kind != "ask").select("a", "b", kind.alias("relation"), F.col("sim").alias("confidence"), F.lit(None).cast("string").alias("note"), F.lit("band").alias("status"))
+    note = F.lit(None).cast("string").alias("note")
+    known = pairs.where(kind != "ask").select("a", "b", kind.alias("relation"), F.col("sim").alias("confidence"), note, F.lit("band").alias("status"))
+    asked = pairs.where(kind == "ask").select("a", "b", "text_a", "text_b", "sim")
+    if judge is None:
+        alike = T.jaccard(T.tokenize(F.col("text_a")), T.tokenize(F.col("text_b")))
+        ruled = asked.withColumn("j", alike).select("a", "b", F.when(F.col("j") >= SAME - 1e-9, "EQUIVALENT").otherwise("UNRELATED").alias("relation"), F.greatest("j", "sim").alias("confidence"), note, F.lit("rule").alias("status"))
+        return known.unionByName(ruled)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -116,7 +125,6 @@ def identify(pairs: DataFrame, judge: Judge = containment_judge, *, batch: int =
                     out.append((r.a, r.b, relation, r.sim, None if note in (None, "none") else note, "missing" if same is None else "judged"))
             yield pd.DataFrame(out, columns=["a", "b", "relation", "confidence", "note", "status"])
 
-    asked = pairs.where(kind == "ask").select("a", "b", "text_a", "text_b", "sim")
     return known.unionByName(asked.mapInPandas(run, known.schema))
 
 
@@ -157,17 +165,49 @@ def annotate(facts: DataFrame, specs: list[PropertySpec], annotator: Callable[[l
     return facts.join(unique.mapInPandas(run, schema), "canonical_text", "left")
 
 
+#: Fixed word list: words that tell no two facts apart.
+FUNCTION_WORDS = """a an the of in on at to for by with from as is was were are be been being
+later then also that which who whom whose and or but not no it its his her
+their this these those there here when while during had has have do does did
+named called serve served hold held include included""".split()
+
+
+def missed_merges(facts: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """(fact_id, partner_id) of facts(fact_id, canonical_text) that differ in function words and words of three letters
+    at most once the names both hold are taken out, and are alike or contained by the threshold.
+
+    Facts that pass have the same other words, names included, so they meet on those alone. Of equal token sets one
+    speaks for all, so a set with any share of the facts gives a pair a fact.
+    """
+    w = facts.where("canonical_text is not null").select("fact_id", F.col("canonical_text").alias("text"), T.tokenize(F.col("canonical_text")).alias("w")).where(F.size("w") > 0)
+    content = F.filter("w", lambda x: (F.length(x) > 3) & ~x.isin(FUNCTION_WORDS))
+    first = w.groupBy("w").agg(F.min(F.struct("fact_id", "text")).alias("f")).select("w", F.col("f.fact_id").alias("fact_id"), F.col("f.text").alias("text"))
+    same = w.join(first.select("w", F.col("fact_id").alias("first")), "w").where("fact_id <> first").select("fact_id", F.col("first").alias("partner_id"))
+    keyed = first.select("fact_id", "text", F.array_join(F.array_sort(content), " ").alias("key"))
+    met = keyed.join(keyed.select("key", F.col("fact_id").alias("partner_id"), F.col("text").alias("partner")), "key").where("fact_id < partner_id")
+    x, y = T.without_shared_names(F.col("text"), F.col("partner"))
+    rest = met.select("fact_id", "partner_id", T.tokenize(x).alias("x"), T.tokenize(y).alias("y")).where((F.size("x") > 0) & (F.size("y") > 0))
+    alike = F.greatest(T.jaccard(F.col("x"), F.col("y")), T.containment(F.col("x"), F.col("y"))) >= threshold
+    return rest.where(alike).select("fact_id", "partner_id").unionByName(same)
+
+
 def audit(facts: DataFrame, mention_fact: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(severity, kind, fact_id): texts that quantify, leave a referent open, join predicates or speak of the source,
-    and facts two of whose members share under a third of the shorter one's tokens."""
+    """(severity, kind, fact_id, partner_id), by severity and kind: texts that quantify, leave a referent open, join
+    predicates outside names or speak of the source, facts two of whose members share under a third of the shorter
+    one's tokens, and facts that look like one proposition with a partner."""
     c = F.col("canonical_text")
+    plain = F.aggregate(T.proper_spans(c), c, lambda text, name: F.replace(text, name, F.lit(" ")))
     flag = lambda severity, kind, cond: F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("kind")))
     flags = F.array_compact(F.array(
         flag("high", "quantified-aggregate", c.rlike(T.QUANTIFIED)), flag("high", "unresolved-referent", T.unresolved(c)),
-        flag("medium", "unsplit-conjunction", c.rlike(T.CONJUNCTION)), flag("medium", "source-meta", c.rlike(T.SOURCE_META)),
+        flag("medium", "unsplit-conjunction", plain.rlike(T.CONJUNCTION)), flag("medium", "source-meta", c.rlike(T.SOURCE_META)),
     ))
     texts = facts.select("fact_id", F.explode(flags).alias("f")).select("f.severity", "f.kind", "fact_id")
     # Members of one fact by distinct token set, so that copies are compared once.
     m = mention_fact.join(mentions.select("mention_id", T.tokenize(F.col("text")).alias("w")), "mention_id").select("fact_id", "w").distinct()
     pairs = m.join(m.withColumnRenamed("w", "v"), "fact_id").where("w <> v").groupBy("fact_id").agg(F.min(T.containment(F.col("w"), F.col("v"))).alias("worst"))
-    return texts.unionByName(pairs.where("worst < 0.34").select(F.lit("high").alias("severity"), F.lit("suspect-merge").alias("kind"), "fact_id"))
+    row = lambda severity, kind: [F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), "fact_id"]
+    none = F.lit(None).cast("string").alias("partner_id")
+    out = texts.select("*", none).unionByName(pairs.where("worst < 0.34").select(*row("high", "suspect-merge"), none))
+    out = out.unionByName(missed_merges(facts).select(*row("medium", "possible-missed-merge"), "partner_id"))
+    return out.orderBy("severity", "kind", "fact_id")

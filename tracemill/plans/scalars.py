@@ -89,14 +89,6 @@ def rx_unresolved(t: Trace) -> DataFrame:
     return t.texts("text").where(T.unresolved(F.col("text"))).select("mention_id")
 
 
-@query(f"SELECT kind, count(*) AS flags FROM (SELECT 'quantified-aggregate' AS kind, canonical_text FROM f WHERE regexp_matches(canonical_text, '{_q(T.QUANTIFIED)}') UNION ALL SELECT 'unresolved-referent', canonical_text FROM f WHERE regexp_matches(canonical_text, '{_q(T.UNRESOLVED)}') AND NOT regexp_matches(canonical_text, '{_q(T.RESOLVED_INLINE)}') AND NOT regexp_matches(canonical_text, '{_q(T.QUANTIFIED)}') UNION ALL SELECT 'unsplit-conjunction', canonical_text FROM f WHERE regexp_matches(canonical_text, '{_q(T.CONJUNCTION)}') UNION ALL SELECT 'source-meta', canonical_text FROM f WHERE regexp_matches(canonical_text, '{_q(T.SOURCE_META)}')) GROUP BY 1".join([", f AS (SELECT DISTINCT ord, canonical_text FROM facts) ", ""]))
-def u_audit_summary(t: Trace) -> DataFrame:
-    f = t.raw("facts").select("ord", "canonical_text").distinct()
-    c = F.col("canonical_text")
-    kinds = F.array(F.when(c.rlike(T.QUANTIFIED), "quantified-aggregate"), F.when(T.unresolved(c), "unresolved-referent"), F.when(c.rlike(T.CONJUNCTION), "unsplit-conjunction"), F.when(c.rlike(T.SOURCE_META), "source-meta"))
-    return f.select(F.explode(F.array_compact(kinds)).alias("kind")).groupBy("kind").agg(F.count("*").alias("flags"))
-
-
 @query(f"SELECT execution_id, count(*) AS facts, round(avg(CAST(regexp_matches(text, '(?i)\\b(and|or)\\b') AS DOUBLE)), 6) AS joined FROM m WHERE channel = 'output' GROUP BY 1")
 def dg_conjunction(t: Trace) -> DataFrame:
     return t.worded("text").where("channel = 'output'").groupBy("execution_id").agg(F.count("*").alias("facts"), F.round(F.avg(F.col("text").rlike(r"(?i)\b(and|or)\b").cast("double")), 6).alias("joined"))
@@ -119,7 +111,13 @@ def slot_label(t: Trace) -> DataFrame:
     return t.mentions.select(T.slot_label(F.col("channel"), F.col("agent_id"), F.col("round")).alias("slot")).groupBy("slot").agg(F.count("*").alias("mentions"))
 
 
-@query("SELECT record_no, CASE WHEN length(text) <= 120 THEN text WHEN length(regexp_extract(left(text, 120), '(?s)^(.*[.!?])(?:\\s|$)', 1)) > 0 THEN regexp_extract(left(text, 120), '(?s)^(.*[.!?])(?:\\s|$)', 1) ELSE regexp_replace(left(text, 120), '\\s+\\S*$', '') || '…' END AS short FROM turns")
+SHORT = f"""WITH tu AS (SELECT DISTINCT record_no, trim(regexp_replace(text, '{T.WHITESPACE}', ' ', 'g')) AS t FROM trace_records WHERE record_no IS NOT NULL AND provenance.channel = 'output' AND provenance.agent_id IS NOT NULL AND provenance.round > 0),
+hd AS (SELECT *, left(t, 120) AS h FROM tu),
+ed AS (SELECT *, greatest(length(regexp_extract(h, '^(.*)\\. ', 1)) + CAST(contains(h, '. ') AS INT), length(regexp_extract(h, '^(.*); ', 1)) + CAST(contains(h, '; ') AS INT)) AS e FROM hd)
+SELECT record_no, CASE WHEN length(t) <= 120 THEN t WHEN e - 1 >= 60 THEN substr(t, 1, e) ELSE regexp_replace(h, ' [^ ]*$', '') || ' ...' END AS short FROM ed"""
+
+
+@query(SHORT, base=False)
 def shorten_sentence(t: Trace) -> DataFrame:
     return t.turns.select("record_no", T.shorten(F.col("text"), 120).alias("short"))
 
