@@ -178,7 +178,7 @@ def test_pipeline(spark):
     m = spark.createDataFrame([("m1", "rent was cut and prices were low", "e", "A", 1, "output"), ("m2", "plain claim", "e", "A", 1, "output"), ("m3", "Plain claim.", "e", "A", 1, "output")], "mention_id string, text string, execution_id string, agent_id string, round int, channel string")
     assert {(r.mention_id, r.split_from) for r in pipeline.atomize(m).collect()} == {("m1#1", "m1"), ("m1#2", "m1"), ("m2", None)}
     pairs = spark.createDataFrame([("a", "b", "x", "y", 0.4), ("a", "c", "x", "z", 0.97), ("b", "c", "y", "z", 0.9), ("b", "d", "y", "w", 0.6)], "a string, b string, text_a string, text_b string, sim double")
-    got = {(r.a, r.b): (r.relation, r.status) for r in pipeline.identify(pairs, lambda ps: [(s > 0.8, "none") for *_, s in ps][:1]).coalesce(1).collect()}
+    got = {(r.a, r.b): (r.relation, r.status) for r in pipeline.identify(pairs, lambda ps: [(s > 0.8, "none") for *_, s in ps][:1], reject=0.55, accept=0.95).coalesce(1).collect()}
     assert got[("a", "b")] == ("UNRELATED", "band") and got[("a", "c")] == ("EQUIVALENT", "band")
     spec = [pipeline.PropertySpec("truth", "?", "boolean"), pipeline.PropertySpec("kind", "?", "choice", ("x", "y"))]
     facts = spark.createDataFrame([("f1", "t1"), ("f2", "t2"), ("f3", None)], "fact_id string, canonical_text string")

@@ -93,14 +93,14 @@ def atomize(mentions: DataFrame, splitter: Splitter = conjunction_splitter) -> D
     return parts.join(first.select("mention_id"), "mention_id", "left_semi")
 
 
-#: Token sets that are alike by this much say the same, where no judge is given.
+#: Word sets, punctuation aside, that are alike by this much say the same, where no judge is given.
 SAME = 0.80
 
 
 def identify(pairs: DataFrame, judge: Judge | None = None, *, batch: int = 16, reject: float = 0.0, accept: float = 1.01) -> DataFrame:
     """(a, b, relation, confidence, note, status) of pairs(a, b, text_a, text_b, sim).
 
-    The judge is asked in batches, and a pair that it leaves out has status missing. Without a judge, token sets alike
+    The judge is asked in batches, and a pair that it leaves out has status missing. Without a judge, word sets alike
     by ``SAME`` are equivalent: a similarity of containment, which a vaguer restatement reaches too, decides nothing.
     The bands are off by default; where set, pairs below ``reject`` are UNRELATED and from ``accept`` on EQUIVALENT unasked.
     """
@@ -109,7 +109,8 @@ def identify(pairs: DataFrame, judge: Judge | None = None, *, batch: int = 16, r
     known = pairs.where(kind != "ask").select("a", "b", kind.alias("relation"), F.col("sim").alias("confidence"), note, F.lit("band").alias("status"))
     asked = pairs.where(kind == "ask").select("a", "b", "text_a", "text_b", "sim")
     if judge is None:
-        alike = T.jaccard(T.tokenize(F.col("text_a")), T.tokenize(F.col("text_b")))
+        words = lambda c: T.tokenize(T.norm_word(F.col(c)))
+        alike = T.jaccard(words("text_a"), words("text_b"))
         ruled = asked.withColumn("j", alike).select("a", "b", F.when(F.col("j") >= SAME - 1e-9, "EQUIVALENT").otherwise("UNRELATED").alias("relation"), F.greatest("j", "sim").alias("confidence"), note, F.lit("rule").alias("status"))
         return known.unionByName(ruled)
 
@@ -125,7 +126,7 @@ def identify(pairs: DataFrame, judge: Judge | None = None, *, batch: int = 16, r
                     out.append((r.a, r.b, relation, r.sim, None if note in (None, "none") else note, "missing" if same is None else "judged"))
             yield pd.DataFrame(out, columns=["a", "b", "relation", "confidence", "note", "status"])
 
-    return known.unionByName(asked.mapInPandas(run, known.schema))
+    return known.unionByName(asked.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in known.dtypes)))
 
 
 @dataclass(frozen=True)
