@@ -251,3 +251,15 @@ def test_copies(spark):
     assert got == {("mentions", 1, 1), ("mentions", 2, 1), ("mentions", 7, 1), ("mentions", 5, 5), ("mentions", 6, 5), ("fact_dumps", 0, 0), ("fact_dumps", 1, 0), ("fact_dumps", 8, 0)}
     counts = {(r.tbl, r.first_row_no): r.copies for r in copies.counted_copies(records).collect()}
     assert counts[("mentions", 1)] == 3 and counts[("fact_dumps", 0)] == 3 and counts[("mentions", 3)] == 1
+
+
+def test_deeply_nested_payloads_count(spark):
+    """Beyond the interpreter's stack, records are parsed and hashed with one of their own, with the same result."""
+    deep = lambda leaf, n=30_000: "[" * n + leaf + "]" * n
+    dumps = spark.createDataFrame([(1, deep('{"a": 1, "b": "X"}')), (2, deep(' {"b":"x.","a":1.0}')), (3, deep('{"a": 2, "b": "X"}')), (4, "[" * 30_000)], "dump_id long, payload string")
+    assert {(r.row_no, r.first_row_no) for r in copies.copied_rows(copies.digests(dumps, "dump_id", "payload", True).select(F.lit("t").alias("tbl"), "*")).collect()} == {(1, 1), (2, 1)}
+    for x in ('{"a": [1, {"b": null}], "c": "d, [e]"}', "[]", "{}", "[[], {}]", " 1.50 ", '"x\\"y"', "[true, false]"):
+        assert copies.parse_deep(x) == copies.parse(x) and copies.merkle_deep(copies.parse(x)) == copies.merkle(copies.parse(x))
+    for x in ("", "[1,]", "{1:2}", '{"a" 1}', "[1 2]", "[}", "]", "{,}", '{"a":1,}', "1 2", "nul", "[NaN]"):
+        with pytest.raises(ValueError):
+            copies.parse_deep(x)

@@ -69,8 +69,8 @@ def grid_components(edges: DataFrame, scratch: Scratch, *, cell_edges: int = 500
         if not n:
             break
         seed += 1
-        # At least `blocks` a side while there is work for several tasks; a cell holds cell_edges of an even spread.
-        side = 1 if n <= 20_000 and seed > 1 else min(256, max(blocks, math.ceil(math.sqrt(2 * n / cell_edges))))
+        # At least `blocks` a side; a cell holds cell_edges of an even spread.
+        side = min(256, max(blocks, math.ceil(math.sqrt(2 * n / cell_edges))))
         block = lambda x: F.pmod(F.xxhash64(F.lit(seed), x), F.lit(side))  # noqa: B023, E731
         cells = left.select("u", "v", F.least(block("u"), block("v")).alias("i"), F.greatest(block("u"), block("v")).alias("j"))
         # At most side * (side + 1) / 2 <= 32,896 rows, so the broadcast is bounded.

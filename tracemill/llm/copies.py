@@ -51,19 +51,53 @@ def parse(payload: str | None):
     return json.loads(payload, object_pairs_hook=Fields, parse_constant=_refuse)
 
 
-def merkle(node) -> tuple[bytes, str]:
-    """(digest, structure) of a node: equal for records that differ in formatting and field order only."""
-    if isinstance(node, Fields):
-        parts = []
-        for name, value in node:
-            digest, inner = merkle(value)
-            name = plain(name)
-            parts.append((xxhash.xxh3_128_digest(name.encode("utf-8", "surrogatepass") + b"\0" + digest), f"{json.dumps(name)}:{inner}"))
-        parts.sort()
-        return xxhash.xxh3_128_digest(b"{" + b"".join(d for d, _ in parts)), "{" + ",".join(s for _, s in parts) + "}"
-    if isinstance(node, list):
-        parts = [merkle(x) for x in node]
-        return xxhash.xxh3_128_digest(b"[" + b"".join(d for d, _ in parts)), "[" + ",".join(s for _, s in parts) + "]"
+_TOKEN = re.compile(r'[\s]*("(?:[^"\\\x00-\x1f]|\\.)*"|[\[\]{},:]|[^\s\[\]{},:"]+)')
+
+
+def parse_deep(payload: str):
+    """``parse`` with a stack of its own, for payloads nested beyond the interpreter's."""
+    at, end = 0, len(payload.rstrip(" \t\n\r"))
+    stack: list[tuple[list, str | None]] = []
+    done, value, name, expect = False, None, None, "value"
+    while at < end:
+        m = _TOKEN.match(payload, at, end)
+        if not m or done:
+            raise ValueError("not JSON")
+        at, token = m.end(), m.group(1)
+        if expect == "name" or expect == "name or end" and token != "}":
+            if token[0] != '"':
+                raise ValueError("not JSON")
+            name, expect = json.loads(token), "colon"
+            continue
+        if expect == "colon":
+            if token != ":":
+                raise ValueError("not JSON")
+            expect = "value"
+            continue
+        if token in "[{" and expect.startswith("value"):
+            stack.append((Fields() if token == "{" else [], name))
+            expect = "name or end" if token == "{" else "value or end"
+            continue
+        if expect == "comma or end" and token == ",":
+            expect = "name" if isinstance(stack[-1][0], Fields) else "value"
+            continue
+        if token in "]}" and expect.endswith("or end") and isinstance(stack[-1][0], Fields) == (token == "}"):
+            value, name = stack.pop()
+        elif expect.startswith("value"):
+            value = parse(token)
+        else:
+            raise ValueError("not JSON")
+        if not stack:
+            done = True
+            continue
+        stack[-1][0].append((name, value) if isinstance(stack[-1][0], Fields) else value)
+        expect = "comma or end"
+    if not done:
+        raise ValueError("not JSON")
+    return value
+
+
+def _leaf(node) -> tuple[bytes, str]:
     if isinstance(node, str):
         leaf = '"' + plain(node)
     elif node is None or isinstance(node, bool):
@@ -73,6 +107,47 @@ def merkle(node) -> tuple[bytes, str]:
     return xxhash.xxh3_128_digest(leaf.encode("utf-8", "surrogatepass")), leaf
 
 
+def _joined(node: list, parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+    """(digest, structure) of an object or list from those of its children."""
+    left, right = "[]"
+    if isinstance(node, Fields):
+        left, right = "{}"
+        names = [plain(name) for name, _ in node]
+        parts = sorted((xxhash.xxh3_128_digest(n.encode("utf-8", "surrogatepass") + b"\0" + d), f"{json.dumps(n)}:{s}") for n, (d, s) in zip(names, parts))
+    return xxhash.xxh3_128_digest(left.encode() + b"".join(d for d, _ in parts)), left + ",".join(s for _, s in parts) + right
+
+
+def merkle(node) -> tuple[bytes, str]:
+    """(digest, structure) of a node: equal for records that differ in formatting and field order only."""
+    if not isinstance(node, list):
+        return _leaf(node)
+    below = [value for _, value in node] if isinstance(node, Fields) else node
+    return _joined(node, [merkle(x) for x in below])
+
+
+def merkle_deep(node) -> tuple[bytes, str]:
+    """``merkle`` with a stack of its own."""
+    stack, out = [(node, False)], []
+    while stack:
+        x, ready = stack.pop()
+        if not isinstance(x, list):
+            out.append(_leaf(x))
+        elif ready:
+            at = len(out) - len(x)
+            out[at:] = [_joined(x, out[at:])]
+        else:
+            stack.append((x, True))
+            stack += [(v[1] if isinstance(x, Fields) else v, False) for v in reversed(x)]
+    return out[0]
+
+
+def root(x: str | None, nested: bool) -> tuple[bytes, str]:
+    try:
+        return merkle(parse(x) if nested else x)
+    except RecursionError:
+        return merkle_deep(parse_deep(x))
+
+
 def digests(df: DataFrame, key: str, column: str, nested: bool) -> DataFrame:
     """(row_no, digest, structure) of each record: of a JSON payload if nested, else of a text as one leaf.
 
@@ -86,8 +161,8 @@ def digests(df: DataFrame, key: str, column: str, nested: bool) -> DataFrame:
             rows, roots, whole = [], [], []
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    digest, structure = merkle(parse(x) if nested else x)
-                except (ValueError, RecursionError, OverflowError):
+                    digest, structure = root(x, nested)
+                except (ValueError, OverflowError):
                     continue
                 rows.append(k)
                 roots.append(digest)
@@ -122,9 +197,14 @@ def copied_rows(records: DataFrame) -> DataFrame:
 
 
 def counted_copies(records: DataFrame) -> DataFrame:
-    """(tbl, first_row_no, copies): each record once, with the number of its copies, itself included."""
-    rows = records.groupBy("tbl", "row_no").agg(F.min(F.struct("digest", "structure")).alias("r"))
-    return rows.groupBy("tbl", "r").agg(F.min("row_no").alias("first_row_no"), F.count("*").alias("copies")).select("tbl", "first_row_no", "copies")
+    """(tbl, first_row_no, copies): each record once, with the number of its copies, itself included.
+
+    Structures are compared by their smallest and largest for a digest, and shuffled whole only where one digest has several.
+    """
+    rows = Scratch(records.sparkSession, "counts").keep(records)
+    split = rows.groupBy("tbl", "digest").agg(F.min("structure").alias("low"), F.max("structure").alias("high")).where("low <> high").select("tbl", "digest", F.lit(True).alias("split"))
+    told = rows.join(split, ["tbl", "digest"], "left").select("tbl", "row_no", "digest", F.when(F.col("split"), F.col("structure")).alias("structure")).distinct()
+    return told.groupBy("tbl", "digest", "structure").agg(F.min("row_no").alias("first_row_no"), F.count("*").alias("copies")).select("tbl", "first_row_no", "copies")
 
 
 def domain_records(mentions: DataFrame, facts: DataFrame, fact_dumps: DataFrame) -> DataFrame:
