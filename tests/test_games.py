@@ -41,4 +41,4 @@ def test_classifier_beats_the_majority(spark):
 def test_as_many_folds_as_runs_leave_each_out_alone(spark):
     rows = [(f"run{i}", "ab"[j % 2], float(j % 2) + i / 100) for i in range(5) for j in range(4)]
     df = spark.createDataFrame(rows, "run string, role string, f double")
-    assert [r.n for r in classify.leave_one_out(df, "run", "role", ["f"], folds=5).collect()] == [4] * 5
+    assert [r.n for r in classify.leave_one_out(df, "run", "role", ["f"]).collect()] == [4] * 5

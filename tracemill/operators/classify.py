@@ -1,4 +1,4 @@
-"""Grouped k-fold (leave-one-run-out with as many folds as runs) logistic regression over standardised features, against the majority baseline."""
+"""Leave-one-run-out (or grouped k-fold) logistic regression over standardised features, against the majority baseline."""
 
 from __future__ import annotations
 
@@ -7,17 +7,21 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
-def leave_one_out(rows: DataFrame, run: str, label: str, features: list[str], *, folds: int = 10, reg: float = 1.0) -> DataFrame:
-    """(fold, n, accuracy, baseline): runs are numbered and dealt into ``folds`` parts, so a fold never trains on its own runs and the
-    number of fits doesn't grow with the data; with folds at or above the number of runs each is left out alone.
-    Rows with a null feature or label are left out; classes weigh the same whatever their sizes."""
+def leave_one_out(rows: DataFrame, run: str, label: str, features: list[str], *, folds: int | None = None, reg: float = 2.0) -> DataFrame:
+    """(fold, n, accuracy, baseline): each run is left out once and judged by what was fitted on the others.
+
+    With ``folds`` the runs are dealt into so many parts, left out in turn, so that the number of fits doesn't grow with
+    the data. ``reg`` is the inverse of the usual C. Rows with a null feature or label are left out; classes weigh the
+    same whatever their sizes."""
     rows = rows.where(" and ".join(f"`{c}` is not null" for c in (run, label, *features)))
     rows = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(rows).transform(rows)
     rows = VectorAssembler(inputCols=features, outputCol="raw").transform(rows)
-    numbered = rows.select(run).distinct().withColumn("fold", ((F.row_number().over(W.orderBy(F.xxhash64(run), run)) - 1) % folds).cast("int"))  # a row a run
+    numbered = rows.select(run).distinct().withColumn("fold", (F.row_number().over(W.orderBy(F.xxhash64(run), run)) - 1).cast("int"))  # a row a run
+    if folds is not None:
+        numbered = numbered.withColumn("fold", F.col("fold") % folds)
     rows = rows.join(numbered, run)
     out = None
-    for fold in [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]:  # at most `folds`
+    for fold in [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]:  # the runs' numbers, or at most `folds`
         train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
         counts = train.groupBy("y").agg(F.count("*").alias("c"))
         if counts.count() < 2:

@@ -120,3 +120,31 @@ def deal_role_aligned(items: DataFrame, agents: DataFrame) -> DataFrame:
     grid = items.withColumnRenamed("tags", "item_tags").join(agents, "case_id").withColumn("fits", F.coalesce(F.arrays_overlap("item_tags", "tags"), F.lit(False)))
     any_fit = grid.groupBy("case_id", "item").agg(F.bool_or("fits").alias("any"))
     return grid.join(any_fit, ["case_id", "item"]).where("fits or not any").select("case_id", "agent", "item")
+
+
+def first_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first n rows of a Parquet or JSON-lines dataset, in the order of its files; no more files are read than hold them."""
+    return (spark.read.json(path) if path.endswith((".json", ".jsonl", ".json.gz", ".jsonl.gz")) else spark.read.parquet(path)).limit(n)
+
+
+def cases_of_debates(debates: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """The cases that debates were held on, each once by its first run; ValueError where they aren't those of expected(case_id)."""
+    first = debates.where("case_id is not null").groupBy("case_id").agg(F.min_by("evidence", "execution_id").alias("evidence"), F.min_by("gold_perspectives", "execution_id").alias("gold_perspectives"))
+    if expected is not None:
+        ids = first.select("case_id")
+        wrong = [r.case_id for r in ids.exceptAll(expected.select("case_id").distinct()).unionByName(expected.select("case_id").distinct().exceptAll(ids)).limit(5).collect()]
+        if wrong:
+            raise ValueError(f"cases differ from those expected: {', '.join(map(str, wrong))}, ...")
+    return first
+
+
+def synthetic_cases(spark: SparkSession, positive: int, negative: int, seed: int = 0) -> DataFrame:
+    """(case_id, drug_a, drug_b, enzyme_a, enzyme_b, interacts): made-up pairs, which interact where the enzymes are one.
+
+    Every value depends on the seed and the case's number only, so any cluster makes the same cases.
+    """
+    enzyme = lambda salt: F.concat(F.lit("CYP"), F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "n"), F.lit(40)) + 1)
+    d = spark.range(positive + negative).withColumnRenamed("id", "n").withColumn("interacts", F.col("n") < positive)
+    other = F.concat(F.lit("CYP"), F.pmod(F.xxhash64(F.lit(seed), F.lit("a"), "n"), F.lit(40)) + 41)
+    name = lambda x: F.concat(F.lit(f"drug-{x}-"), F.hex(F.xxhash64(F.lit(seed), F.lit(x), "n")))
+    return d.select(F.format_string("case-%05d", "n").alias("case_id"), name("a").alias("drug_a"), name("b").alias("drug_b"), enzyme("a").alias("enzyme_a"), F.when(F.col("interacts"), enzyme("a")).otherwise(other).alias("enzyme_b"), "interacts")
