@@ -102,3 +102,20 @@ def test_weighted_betweenness_against_listed_paths(seed):
     edges = [(u, v, rng.randrange(1, 4)) for u in range(6) for v in range(6) if u != v and rng.random() < 0.4]
     got = weighted_betweenness(edges)
     assert got == pytest.approx(brute_betweenness(edges))
+
+
+def test_links_go_to_first_sayers_and_new_receivers(spark, monkeypatch):
+    """A fact kept by its sayer is no uptake; the latest delivered turn of a speaker is the source of one."""
+    from tracemill.operators.base import Trace
+    from tracemill.plans import views
+
+    said = spark.createDataFrame([("e", a, r, "f") for a, r in (("A", 1), ("B", 1), ("B", 2), ("C", 3))] + [("other", "A", 1, "f")], "execution_id string, agent_id string, round int, fact_id string")
+    sent = [("e", "B", 2, "A", 1), ("e", "C", 3, "A", 1), ("e", "C", 3, "B", 1), ("e", "C", 3, "B", 2), ("e", "C", 2, "A", 1)]
+    t = Trace(spark, "")
+    t.said = said
+    t.mentions = said.withColumns({"channel": F.lit("output"), "doc_id": F.lit(None).cast("string")}).unionByName(spark.createDataFrame([("e", None, None, "f", "source", "d1")] * 2, "execution_id string, agent_id string, round int, fact_id string, channel string, doc_id string"))
+    t.deliveries = spark.createDataFrame(sent, "execution_id string, listener string, round int, speaker string, sent_round int")
+    got = {(r.kind, r.src, r.dst) for r in views.view_links(t).where("execution_id = 'e'").collect()}
+    assert got == {("origin", "d1", "A|1"), ("origin", "d1", "B|1"), ("origin", "d1", "C|3"), ("persistence", "B|1", "B|2"), ("transmission", "A|1", "C|3"), ("transmission", "B|2", "C|3")}
+    r = views.fact_reach(t).where("execution_id = 'e'").first()
+    assert (r.facts, r.dead_ends, r.spread, r.fanout) == (1, 0, 1, 2.0)

@@ -35,7 +35,7 @@ def _uniform(*seed: Column) -> Column:
     return F.pmod(F.xxhash64(*seed), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def bootstrap_mean(rows: DataFrame, value: str, *, key: str, draws: int = 2000, seed: int = 1) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, value: str, *, key: str, draws: int = 20_000, seed: int = 1) -> DataFrame:
     """(n, mean, low, high, positive): mean with a 95 % interval by Poisson bootstrap, and the share of draws above
     zero, ties half; draws that take no row count for nothing. Weights depend on key, draw and seed only, so results repeat on any cluster."""
     u = _uniform(F.col(key), F.col("draw"), F.lit(seed))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracemill.functions import text as T
 from tracemill.operators import matching, stats
@@ -60,46 +60,67 @@ def dedup_turns(t: Trace) -> DataFrame:
 
 
 # A matcher that calls a judged pair the same when token containment reaches a cut, against the judges' labels.
-SCORED = f", tk AS (SELECT mention_id, {tokens_sql('text')} AS w FROM m), pr AS (SELECT jd.a, jd.b, jd.label, len(list_intersect(x.w, y.w)) * 1.0 / least(len(x.w), len(y.w)) AS s FROM (SELECT DISTINCT a, b, label FROM jd) jd JOIN tk x ON x.mention_id = jd.a JOIN tk y ON y.mention_id = jd.b), cut AS (SELECT unnest(range(0, 21)) AS k), gr2 AS (SELECT k, s >= k * 0.05 - 1e-9 AS said_same, label = 'EQUIVALENT' AS gold, label FROM pr CROSS JOIN cut)"
+SWEEP, FINE = 80, 200
+SCORED = f", tk AS (SELECT mention_id, {tokens_sql('text')} AS w FROM m), pr AS (SELECT jd.a, jd.b, jd.label, label = 'EQUIVALENT' AS gold, substr(md5(jd.a || '|' || jd.b), 1, 1) < '8' AS fit, len(list_intersect(x.w, y.w)) * 1.0 / least(len(x.w), len(y.w)) AS s FROM (SELECT DISTINCT a, b, label FROM jd) jd JOIN tk x ON x.mention_id = jd.a JOIN tk y ON y.mention_id = jd.b)"
+_BY_CUT = "SELECT k, count(CASE WHEN s >= k / {n}.0 - 1e-9 AND gold THEN 1 END) AS tp, count(CASE WHEN s >= k / {n}.0 - 1e-9 AND NOT gold THEN 1 END) AS fp, count(CASE WHEN NOT coalesce(s >= k / {n}.0 - 1e-9, false) AND gold THEN 1 END) AS fn, count(CASE WHEN NOT coalesce(s >= k / {n}.0 - 1e-9, false) AND NOT gold THEN 1 END) AS tn FROM pr CROSS JOIN (SELECT unnest(range(0, {n} + 1)) AS k) GROUP BY 1"
 
 
 def _scored(t: Trace) -> DataFrame:
     of = lambda x: t.texts("text").select(F.col("mention_id").alias(x), T.tokenize(F.col("text")).alias(f"w{x}"))
-    p = t.judged.select("a", "b", "label").distinct().join(of("a"), "a").join(of("b"), "b").select("label", T.containment(F.col("wa"), F.col("wb")).alias("s"))
-    p = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    return p.select("k", "label", (F.col("s") >= F.col("k") * 0.05 - 1e-9).alias("said_same"), (F.col("label") == "EQUIVALENT").alias("gold"))
+    p = t.judged.select("a", "b", "label").distinct().join(of("a"), "a").join(of("b"), "b")
+    fit = F.substring(F.md5(F.concat("a", F.lit("|"), "b")), 1, 1) < "8"
+    return p.select("label", (F.col("label") == "EQUIVALENT").alias("gold"), fit.alias("fit"), T.containment(F.col("wa"), F.col("wb")).alias("s"))
+
+
+def _by_cut(scored: DataFrame, n: int) -> DataFrame:
+    """(k, tp, fp, fn, tn) of the cuts k / n: pairs are counted by the last cut they reach, and only those counts are summed over the cuts."""
+    reached = F.least(F.floor((F.coalesce("s", F.lit(-1.0)) + 1e-9) * n), F.lit(n))
+    h = scored.groupBy(reached.alias("r"), "gold").agg(F.count("*").alias("c"))  # at most 2 (n + 2) rows
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
+    h = h.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("same", F.col("r") >= F.col("k"))
+    return h.groupBy("k").agg(of(F.col("same") & F.col("gold")).alias("tp"), of(F.col("same") & ~F.col("gold")).alias("fp"), of(~F.col("same") & F.col("gold")).alias("fn"), of(~F.col("same") & ~F.col("gold")).alias("tn"))
 
 
-_COUNTS = "count(CASE WHEN said_same AND gold THEN 1 END) AS tp, count(CASE WHEN said_same AND NOT gold THEN 1 END) AS fp, count(CASE WHEN NOT said_same AND gold THEN 1 END) AS fn, count(CASE WHEN NOT said_same AND NOT gold THEN 1 END) AS tn"
 _F1 = "round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1"
 
 
-def _confusion(g) -> DataFrame:
-    s, y = F.col("said_same"), F.col("gold")
+def _f1() -> Column:
+    return r6(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+
+
+def _confusion(g, cut: float = 0.8) -> DataFrame:
+    s, y = F.coalesce(F.col("s") >= cut - 1e-9, F.lit(False)), F.col("gold")
     c = lambda x: F.count(F.when(x, 1))
-    d = g.agg(c(s & y).alias("tp"), c(s & ~y).alias("fp"), c(~s & y).alias("fn"), c(~s & ~y).alias("tn"))
-    return d.withColumn("f1", r6(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))))
+    return g.agg(c(s & y).alias("tp"), c(s & ~y).alias("fp"), c(~s & y).alias("fn"), c(~s & ~y).alias("tn")).withColumn("f1", _f1())
+
+
+_AT = "count(CASE WHEN s >= 0.8 - 1e-9 AND gold THEN 1 END) AS tp, count(CASE WHEN s >= 0.8 - 1e-9 AND NOT gold THEN 1 END) AS fp, count(CASE WHEN NOT coalesce(s >= 0.8 - 1e-9, false) AND gold THEN 1 END) AS fn, count(CASE WHEN NOT coalesce(s >= 0.8 - 1e-9, false) AND NOT gold THEN 1 END) AS tn"
 
 
-@query(SCORED + f", c AS (SELECT k, {_COUNTS} FROM gr2 GROUP BY 1) SELECT k, tp, fp, fn, tn, {_F1} FROM c")
+@query(SCORED + f", c AS ({_BY_CUT.format(n=SWEEP)}) SELECT k, tp, fp, fn, tn, {_F1} FROM c")
 def sweep_threshold(t: Trace) -> DataFrame:
-    return _confusion(_scored(t).groupBy("k"))
+    """The confusion at each of 81 cuts over the range of scores."""
+    return _by_cut(_scored(t), SWEEP).withColumn("f1", _f1())
 
 
-@query(SCORED + f", c AS (SELECT {_COUNTS} FROM gr2 WHERE k = 16) SELECT tp, fp, fn, tn, {_F1} FROM c")
+@query(SCORED + f", c AS (SELECT {_AT} FROM pr) SELECT tp, fp, fn, tn, {_F1} FROM c")
 def score_binary(t: Trace) -> DataFrame:
-    return _confusion(_scored(t).where("k = 16"))
+    return _confusion(_scored(t).groupBy())
 
 
-@query(SCORED + f", c AS (SELECT label, {_COUNTS} FROM gr2 WHERE k = 16 GROUP BY 1) SELECT label, tp, fp, fn, tn, {_F1} FROM c")
+@query(SCORED + f", c AS (SELECT label, {_AT} FROM pr GROUP BY 1) SELECT label, tp, fp, fn, tn, {_F1} FROM c")
 def breakdown(t: Trace) -> DataFrame:
-    return _confusion(_scored(t).where("k = 16").groupBy("label"))
+    return _confusion(_scored(t).groupBy("label"))
 
 
-@query(SCORED + f", c AS (SELECT k, {_COUNTS} FROM gr2 GROUP BY 1), f AS (SELECT k, {_F1} FROM c) SELECT k AS best_k, f1 FROM f ORDER BY f1 DESC, k LIMIT 1")
+@query(SCORED + f", f AS ({_BY_CUT.format(n=FINE).replace('FROM pr', 'FROM (SELECT * FROM pr WHERE fit)')}), h AS ({_BY_CUT.format(n=FINE).replace('FROM pr', 'FROM (SELECT * FROM pr WHERE NOT fit)')}), b AS (SELECT k, {_F1} FROM f ORDER BY f1 DESC NULLS LAST, k LIMIT 1) SELECT b.k / 200.0 AS cut, b.f1 AS fitted_f1, round(h.tp * 1.0 / nullif(h.tp + h.fp, 0), 6) AS precision, round(h.tp * 1.0 / nullif(h.tp + h.fn, 0), 6) AS recall, round(2.0 * h.tp / nullif(2 * h.tp + h.fp + h.fn, 0), 6) AS f1 FROM b JOIN h USING (k)")
 def calibrate_threshold(t: Trace) -> DataFrame:
-    """The first cut with the best F1."""
-    return _confusion(_scored(t).groupBy("k")).select(F.col("k").alias("best_k"), "f1").orderBy(F.desc("f1"), "best_k").limit(1)
+    """The first of 201 cuts with the best F1 on one half of the pairs, and what it gives on the half held out. A hash of the pair deals it to a half."""
+    scored = _scored(t)
+    best = _by_cut(scored.where("fit"), FINE).withColumn("f1", _f1()).orderBy(F.desc_nulls_last("f1"), "k").limit(1).select("k", F.col("f1").alias("fitted_f1"))
+    h = _by_cut(scored.where("not fit"), FINE).join(best, "k")
+    share = lambda x: r6(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col(x)))
+    return h.select((F.col("k") / FINE).alias("cut"), "fitted_f1", share("fp").alias("precision"), share("fn").alias("recall"), _f1().alias("f1"))
 
 
 @query("SELECT label, p AS policy, count(*) AS pairs, count(CASE WHEN label = 'EQUIVALENT' OR (p <> 'strict' AND label = 'A_ENTAILS_B' AND confidence >= 0.9) OR (p = 'entail' AND label IN ('A_ENTAILS_B', 'B_ENTAILS_A')) THEN 1 END) AS same FROM jd CROSS JOIN (SELECT unnest(['strict', 'near', 'entail']) AS p) GROUP BY 1, 2")
