@@ -30,20 +30,27 @@ def _draws(rows: DataFrame, draws: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(rows.sparkSession.range(draws).withColumnRenamed("id", "draw")))  # a fixed number of draws
 
 
-def _uniform(*seed: Column) -> Column:
-    """A uniform number that depends on its arguments only."""
-    return F.pmod(F.xxhash64(*seed), F.lit(1 << 53)) / F.lit(float(1 << 53))
+def _digest(*seed: Column | str) -> Column:
+    return F.md5(F.concat_ws("|", *seed))
+
+
+def _uniform(*seed: Column | str) -> Column:
+    """A uniform number that depends on its arguments only: 52 bits of their MD5, which any engine can compute."""
+    return F.conv(F.substring(_digest(*seed), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+#: Cumulative probabilities of Poisson(1).
+POISSON = (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)
 
 
 def bootstrap_mean(rows: DataFrame, value: str, *, key: str, draws: int = 20_000, seed: int = 1) -> DataFrame:
     """(n, mean, low, high, positive): mean with a 95 % interval by Poisson bootstrap, and the share of draws above
     zero, ties half; draws that take no row count for nothing. Weights depend on key, draw and seed only, so results repeat on any cluster."""
-    u = _uniform(F.col(key), F.col("draw"), F.lit(seed))
-    # Poisson(1) by its cumulative probabilities.
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
+    u = _uniform(key, "draw", F.lit(seed))
+    weight = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
     d = _draws(rows.where(F.col(value).isNotNull()), draws).withColumn("w", weight).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
     est = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    got = d.where("m is not null").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg(F.when(F.col("m") > 0, 1.0).when(F.col("m") == 0, 0.5).otherwise(0.0)).alias("positive"))
+    got = d.where("m is not null").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg(F.when(F.col("m") > 1e-12, 1.0).when(F.col("m") >= -1e-12, 0.5).otherwise(0.0)).alias("positive"))
     return est.crossJoin(got)
 
 
@@ -55,9 +62,9 @@ def permutation(rows: DataFrame, value: str, group: str, *, key: str, draws: int
     from pyspark.sql import Window as W
 
     obs = rows.agg(F.count(F.when(F.col(group), 1)).alias("k"), (F.avg(F.when(F.col(group), F.col(value))) - F.avg(F.when(~F.col(group), F.col(value)))).alias("difference"))
-    d = _draws(rows, draws).withColumn("r", F.row_number().over(W.partitionBy("draw").orderBy(F.xxhash64(F.col(key), F.col("draw"), F.lit(seed)))))
+    d = _draws(rows, draws).withColumn("r", F.row_number().over(W.partitionBy("draw").orderBy(_digest(key, "draw", F.lit(seed)))))
     d = d.crossJoin(F.broadcast(obs)).groupBy("draw").agg((F.avg(F.when(F.col("r") <= F.col("k"), F.col(value))) - F.avg(F.when(F.col("r") > F.col("k"), F.col(value)))).alias("m"), F.first("difference").alias("difference"))
-    return d.groupBy("difference").agg(((F.count(F.when(F.abs(F.col("m")) >= F.abs(F.col("difference")) - 1e-12, 1)) + 1) / (F.count("*") + 1)).alias("p"))
+    return d.groupBy("difference").agg(((F.count(F.when(F.abs(F.col("m")) >= F.abs(F.col("difference")) - 1e-9, 1)) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def signflip(rows: DataFrame, value: str, *, key: str, exact: int = 16, draws: int = 20_000, seed: int = 1) -> DataFrame:
@@ -73,7 +80,7 @@ def signflip(rows: DataFrame, value: str, *, key: str, exact: int = 16, draws: i
         sign = F.when(F.expr("shiftrightunsigned(draw, bit) & 1") == 1, 1.0).otherwise(-1.0)
         patterns = 2**n
     else:
-        sign = F.when(_uniform(F.col(key), F.col("draw"), F.lit(seed)) < 0.5, 1.0).otherwise(-1.0)
+        sign = F.when(_uniform(key, "draw", F.lit(seed)) < 0.5, 1.0).otherwise(-1.0)
         patterns = draws
     d = _draws(v, patterns).groupBy("draw").agg(F.sum(sign * F.col(value)).alias("s")).crossJoin(F.broadcast(obs))
-    return d.groupBy("n", F.try_divide(F.col("total"), F.col("n")).alias("observed")).agg(F.avg((F.abs(F.col("s")) >= F.abs(F.col("total")) - 1e-12).cast("double")).alias("p"))
+    return d.groupBy("n", F.try_divide(F.col("total"), F.col("n")).alias("observed")).agg(F.avg((F.abs(F.col("s")) >= F.abs(F.col("total")) - 1e-9).cast("double")).alias("p"))

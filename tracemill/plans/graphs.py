@@ -56,7 +56,15 @@ def reach(edges: str, key: str) -> str:
     return f", ed AS ({edges}), ee AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed), reach AS (SELECT DISTINCT u AS id, u AS root FROM ee UNION SELECT ee.v, root FROM reach JOIN ee ON ee.u = reach.id WHERE root < ee.v) SELECT id AS {key}, min(root) AS root FROM reach GROUP BY 1"
 
 
-@query()
+# Shortest paths are listed step by step: the recursion carries each vertex's distance and number of paths from a source.
+CRUX = ENTAIL + """, es AS (SELECT DISTINCT u, v FROM en), vs AS (SELECT u AS x FROM es UNION SELECT v FROM es),
+ds AS (SELECT u AS s, v, 1 AS d FROM es WHERE u <> v UNION SELECT ds.s, es.v, ds.d + 1 FROM ds JOIN es ON es.u = ds.v WHERE ds.d < 60 AND es.v <> ds.s),
+mn AS (SELECT s, v, min(d) AS d FROM ds GROUP BY 1, 2), pc AS (SELECT x AS s, x AS v, 0 AS d, 1.0::DOUBLE AS n FROM vs UNION ALL SELECT s, v, d, sum(n) FROM (SELECT pc.s, es.v, pc.d + 1 AS d, pc.n FROM pc JOIN es ON es.u = pc.v JOIN mn ON mn.s = pc.s AND mn.v = es.v AND mn.d = pc.d + 1) GROUP BY 1, 2, 3),
+bt AS (SELECT a.v AS id, sum(a.n * b.n / c.n) AS score FROM pc a JOIN pc b ON b.s = a.v JOIN pc c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d WHERE a.d > 0 AND b.d > 0 GROUP BY 1)
+SELECT id, round(score / ((SELECT count(*) FROM vs) - 1) / ((SELECT count(*) FROM vs) - 2), 12) AS score FROM bt WHERE score > 0"""
+
+
+@query(CRUX, recursive=True)
 def g_crux(t: Trace) -> DataFrame:
     """Facts by betweenness in the entailment graph, exact, over each weakly connected part."""
     return betweenness(t, _entail(t).distinct())

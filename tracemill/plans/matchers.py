@@ -36,7 +36,7 @@ def candidate_pairs(t: Trace) -> DataFrame:
     return matching.candidate_pairs(t.worded("text")).withColumn("sim", F.round("sim", 4))
 
 
-@query()
+@query(", ed AS (SELECT a AS u, b AS v FROM jd WHERE label = 'EQUIVALENT' AND confidence >= 0.85), ee AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed), reach AS (SELECT DISTINCT u AS id, u AS root FROM ee UNION SELECT ee.v, root FROM reach JOIN ee ON ee.u = reach.id WHERE root < ee.v), rt AS (SELECT id, min(root) AS root FROM reach GROUP BY 1), g AS (SELECT m.*, coalesce(root, mention_id) AS grp FROM m LEFT JOIN rt ON rt.id = m.mention_id) SELECT mention_id, first_value(" + fact_id_sql("text") + ") OVER (PARTITION BY grp ORDER BY channel <> 'source', -coalesce(len(qualifiers), 0), -length(text), ord, mention_id) AS fact_id FROM g", recursive=True)
 def match(t: Trace) -> DataFrame:
     return matching.match(t.worded("text", "qualifiers"), t.judged)
 
@@ -165,15 +165,33 @@ def st_signs(t: Trace) -> DataFrame:
     return _contrast(t).agg(F.count("*").alias("cases"), r6(F.avg(F.col("x") - F.col("y"))).alias("mean_difference"), F.count(F.when(F.col("x") > F.col("y"), 1)).alias("wins"), F.count(F.when(F.col("x") < F.col("y"), 1)).alias("losses"))
 
 
-@query()
+DIFFERENCES = CONTRAST + ", d AS (SELECT case_id, x - y AS d FROM c WHERE x IS NOT NULL AND y IS NOT NULL)"
+_U = "CAST('0x' || substr(md5(concat_ws('|', {key}, draw, 1)), 1, 13) AS BIGINT) / 4503599627370496.0"
+_POISSON = " + ".join(f"CAST(u >= {c} AS INT)" for c in stats.POISSON)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places."""
+    return df.select(*(r6(c).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def bootstrap_sql(key: str, value: str, rows: str, draws: int = 20_000) -> str:
+    """SQL of stats.bootstrap_mean over a relation."""
+    return f", bw AS (SELECT draw, v, {_POISSON} AS w FROM (SELECT draw, {value} AS v, {_U.format(key=key)} AS u FROM {rows} CROSS JOIN (SELECT unnest(range(0, {draws})) AS draw))), bm AS (SELECT sum(w * v) / nullif(sum(w), 0) AS m FROM bw GROUP BY draw) SELECT (SELECT count({value}) FROM {rows}) AS n, (SELECT round(avg({value}), 6) FROM {rows}) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m > 1e-12 THEN 1.0 WHEN m >= -1e-12 THEN 0.5 ELSE 0.0 END), 6) AS positive FROM bm WHERE m IS NOT NULL"
+
+
+@query(DIFFERENCES + bootstrap_sql("case_id", "d", "d"))
 def st_paired_bootstrap(t: Trace) -> DataFrame:
-    return stats.bootstrap_mean(_contrast(t).select("case_id", (F.col("x") - F.col("y")).alias("d")), "d", key="case_id")
+    return rounded(stats.bootstrap_mean(_contrast(t).select("case_id", (F.col("x") - F.col("y")).alias("d")), "d", key="case_id"))
 
 
-@query()
+PERMUTED = SIGNATURE + ", pd AS (SELECT execution_id, CAST(n_facts AS DOUBLE) AS x, topology = 'chain' AS g FROM sgn JOIN db USING (execution_id) WHERE topology IN ('broadcast', 'chain')), ob AS (SELECT count(CASE WHEN g THEN 1 END) AS k, avg(CASE WHEN g THEN x END) - avg(CASE WHEN NOT g THEN x END) AS difference FROM pd), rk2 AS (SELECT draw, x, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', execution_id, draw, 1))) AS r FROM pd CROSS JOIN (SELECT unnest(range(0, 1000)) AS draw)), dm AS (SELECT draw, avg(CASE WHEN r <= k THEN x END) - avg(CASE WHEN r > k THEN x END) AS m FROM rk2 CROSS JOIN ob GROUP BY 1)"
+
+
+@query(PERMUTED + " SELECT round(difference, 6) AS difference, round((count(CASE WHEN abs(m) >= abs(difference) - 1e-9 THEN 1 END) + 1) / (count(*) + 1.0), 6) AS p FROM dm CROSS JOIN ob GROUP BY difference")
 def st_permutation(t: Trace) -> DataFrame:
     d = _signature(t).join(t.debates.where("topology in ('broadcast', 'chain')"), "execution_id").select("execution_id", F.col("n_facts").cast("double").alias("x"), (F.col("topology") == "chain").alias("g"))
-    return stats.permutation(d, "x", "g", key="execution_id")
+    return rounded(stats.permutation(d, "x", "g", key="execution_id"))
 
 
 @query(USES + ", g AS (SELECT topology, persona, avg(adopted * 1.0 / n) AS x FROM u JOIN db USING (execution_id) GROUP BY 1, 2) SELECT persona, round(max(CASE WHEN topology = 'broadcast' THEN x END) - max(CASE WHEN topology = 'chain' THEN x END), 6) AS gap, round((max(CASE WHEN topology = 'broadcast' THEN x END) - max(CASE WHEN topology = 'chain' THEN x END)) - (SELECT max(CASE WHEN topology = 'broadcast' THEN x END) - max(CASE WHEN topology = 'chain' THEN x END) FROM g WHERE persona = 'neutral'), 6) AS did FROM g WHERE persona IS NOT NULL GROUP BY 1")
@@ -236,6 +254,6 @@ def ml_js_divergence(t: Trace) -> DataFrame:
     return _mixes(t).select("execution_id", "a", "b", r6(stats.jensen_shannon("p", "q")).alias("js"))
 
 
-@query()
+@query(DIFFERENCES + f", n AS (SELECT count(*) AS n, coalesce(sum(d), 0) AS total FROM d), nb AS (SELECT *, row_number() OVER (ORDER BY case_id) - 1 AS bit FROM d), fs AS (SELECT draw, sum(CASE WHEN n <= 16 THEN CASE WHEN (draw >> bit) & 1 = 1 THEN d ELSE -d END ELSE CASE WHEN {_U.format(key='case_id')} < 0.5 THEN d ELSE -d END END) AS s FROM nb CROSS JOIN n CROSS JOIN (SELECT unnest(range(0, 65536)) AS draw) WHERE draw < CASE WHEN n <= 16 THEN 1 << n ELSE 20000 END GROUP BY 1) SELECT n, round(total / nullif(n, 0), 6) AS observed, round(avg(CAST(abs(s) >= abs(total) - 1e-9 AS DOUBLE)), 6) AS p FROM fs CROSS JOIN n GROUP BY n, total")
 def st_signflip_exact(t: Trace) -> DataFrame:
-    return stats.signflip(_contrast(t).select("case_id", (F.col("x") - F.col("y")).alias("d")), "d", key="case_id")
+    return rounded(stats.signflip(_contrast(t).select("case_id", (F.col("x") - F.col("y")).alias("d")), "d", key="case_id"))

@@ -8,6 +8,7 @@ from tracemill.functions import text as T
 from tracemill.operators import matching, pipeline, stats
 from tracemill.operators.base import Trace
 from tracemill.plans.census import TOPICS
+from tracemill.plans.matchers import bootstrap_sql, rounded
 from tracemill.plans.lifecycle import TOKENS, USES, _tokens, r6
 from tracemill.plans.registry import fact_id_sql, query, tokens_sql
 from tracemill.plans.restated import SCREEN, _count, _screened
@@ -298,7 +299,10 @@ def st_group_diff(t: Trace) -> DataFrame:
     return x.agg(_count("correct").alias("yes_n"), _count("not correct").alias("no_n"), r6(yes("v")).alias("yes_mean"), r6(no("v")).alias("no_mean"), r6(yes("v") - no("v")).alias("difference"), r6(yes("adj") - no("adj")).alias("adjusted"))
 
 
-@query(OFFERS + ", f AS (SELECT case_id, sum(CASE WHEN taken THEN credit ELSE 0 END) AS taken, sum(CASE WHEN taken AND topic <> 'unlabelled' THEN credit ELSE 0 END) AS labelled, sum(credit) AS offered, sum(CASE WHEN topic <> 'unlabelled' THEN credit ELSE 0 END) AS offered_labelled FROM of JOIN db USING (execution_id) GROUP BY 1) SELECT case_id, round(labelled / nullif(taken, 0) / nullif(offered_labelled / nullif(offered, 0), 0), 6) AS lift FROM f WHERE labelled / nullif(taken, 0) / nullif(offered_labelled / nullif(offered, 0), 0) IS NOT NULL")
+LIFTS = OFFERS + ", f AS (SELECT case_id, sum(CASE WHEN taken THEN credit ELSE 0 END) AS taken, sum(CASE WHEN taken AND topic <> 'unlabelled' THEN credit ELSE 0 END) AS labelled, sum(credit) AS offered, sum(CASE WHEN topic <> 'unlabelled' THEN credit ELSE 0 END) AS offered_labelled FROM of JOIN db USING (execution_id) GROUP BY 1), lx AS (SELECT case_id, labelled / nullif(taken, 0) / nullif(offered_labelled / nullif(offered, 0), 0) AS lift FROM f), lf2 AS (SELECT case_id, lift, lift - 1 AS d FROM lx WHERE lift IS NOT NULL)"
+
+
+@query(LIFTS + " SELECT case_id, round(lift, 6) AS lift FROM lf2")
 def st_lift(t: Trace) -> DataFrame:
     """For each case, how much likelier labelled facts were taken up than their share of the offers."""
     return _lifts(t).select("case_id", r6("lift").alias("lift"))
@@ -311,10 +315,10 @@ def _lifts(t: Trace) -> DataFrame:
     return f.select("case_id", lift.alias("lift")).where("lift is not null")
 
 
-@query()
+@query(LIFTS + bootstrap_sql("case_id", "d", "lf2"))
 def st_lift_ci(t: Trace) -> DataFrame:
     """Mean lift less one over the cases, its interval and the share of draws above zero."""
-    return stats.bootstrap_mean(_lifts(t).select("case_id", (F.col("lift") - 1).alias("d")), "d", key="case_id")
+    return rounded(stats.bootstrap_mean(_lifts(t).select("case_id", (F.col("lift") - 1).alias("d")), "d", key="case_id"))
 
 
 @query(", e AS (SELECT ea AS execution_id, CASE WHEN label = 'A_ENTAILS_B' THEN fa ELSE fb END AS u, CASE WHEN label = 'A_ENTAILS_B' THEN fb ELSE fa END AS v, CASE WHEN label = 'A_ENTAILS_B' THEN ra ELSE rb END AS p, CASE WHEN label = 'A_ENTAILS_B' THEN rb ELSE ra END AS q FROM lf WHERE ea = eb AND ra > 0 AND rb > 0 AND label IN ('A_ENTAILS_B', 'B_ENTAILS_A')), d AS (SELECT DISTINCT * FROM e WHERE p < q), w AS (SELECT execution_id, v, q, 1 AS n FROM d UNION SELECT d.execution_id, d.v, d.q, w.n + 1 FROM w JOIN d ON d.execution_id = w.execution_id AND d.u = w.v AND d.p >= w.q) SELECT execution_id, max(n) AS longest FROM w GROUP BY 1", recursive=True)
