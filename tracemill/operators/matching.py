@@ -31,9 +31,13 @@ def char_grams(c: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams within words padded by a blank on each side; a padded word shorter than n gives itself once."""
     words = F.transform(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def of(w: Column, n: int) -> Column:
+        # A function of one argument: a second would be the position in the array.
+        cut = F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))
+        return F.when(F.length(w) > n, cut).when((F.length(w) == n) | F.lit(n == low), F.array(w)).otherwise(F.array().cast("array<string>"))
+
     def grams(w: Column) -> Column:
-        parts = [F.when(F.length(w) > n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i, n=n: F.substring(w, i, F.lit(n)))).when(F.length(w) == n, F.array(w)).otherwise(F.array(w) if n == low else F.array().cast("array<string>")) for n in range(low, high + 1)]
-        return F.concat(*parts)
+        return F.concat(*(of(w, n) for n in range(low, high + 1)))
 
     return F.flatten(F.transform(words, grams))
 
@@ -60,7 +64,7 @@ def _scorer(k: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         at = pd.Index(names)
 
         def matrix(part: pd.DataFrame, terms: str, weights: str | None, index: pd.Index) -> np.ndarray:
-            out = np.zeros((len(part), len(index)), np.float32)
+            out = np.zeros((len(part), len(index)))
             for r, x in enumerate(part[terms]):
                 out[r, index.get_indexer(x)] = 1 if weights is None else part[weights].iloc[r]
             return out
@@ -69,16 +73,19 @@ def _scorer(k: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         sim = matrix(left, "terms", "weights", at) @ matrix(right, "terms", "weights", at).T
         a, b = matrix(left, "tokens", None, tokens), matrix(right, "tokens", None, tokens)
         least = np.minimum(a.sum(1)[:, None], b.sum(1)[None])
-        sim = np.maximum(sim, np.divide(a @ b.T, least, out=np.zeros_like(sim), where=least > 0))
+        # Nine places, so that what is equal but for rounding ties everywhere.
+        sim = np.round(np.maximum(sim, np.divide(a @ b.T, least, out=np.zeros_like(sim), where=least > 0)), 9)
         out = []
         for mine, other, s in ((left, right, sim), (right, left, sim.T)) if i != j else ((left, right, sim),):
             keys, others = mine.key.to_numpy(), other.key.to_numpy()
             if i == j:
                 np.fill_diagonal(s, -1)
+            # The k-th best of each row bounds its candidates, so only those and their ties are ordered.
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(keys), -1.0)
             for r in range(len(keys)):
-                for c in np.lexsort((others, -s[r]))[:k]:
-                    if s[r, c] >= 0 and keys[r] != others[c]:
-                        out.append((pool, keys[r], others[c], float(s[r, c])))
+                near = np.flatnonzero((s[r] >= least[r]) & (s[r] >= 0) & (others != keys[r]))
+                for c in near[np.lexsort((others[near], -s[r, near]))[:k]]:
+                    out.append((pool, keys[r], others[c], float(s[r, c])))
         return pd.DataFrame(out, columns=["pool", "i", "j", "sim"])
 
     return score

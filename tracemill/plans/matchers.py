@@ -31,7 +31,24 @@ def light_match(t: Trace) -> DataFrame:
     return matching.light_match(t.worded("text"))
 
 
-@query()
+# TF-IDF of words, pairs of words and characters within words, by execution; the larger of cosine and containment.
+CANDIDATES = f""", cx AS (SELECT execution_id, mention_id, agent_id, round, channel, text, {tokens_sql('text')} AS tk FROM m WHERE execution_id IS NOT NULL),
+wl AS (SELECT execution_id, mention_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_\\p{{M}}]{{2,}}') AS w, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS s FROM cx),
+g0 AS (SELECT execution_id, mention_id, 'w' AS block, unnest(w) AS term FROM wl UNION ALL SELECT execution_id, mention_id, 'w', unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM wl
+UNION ALL SELECT execution_id, mention_id, 'c', unnest(flatten(list_transform(s, lambda x: CASE WHEN length(x) + 2 > n THEN list_transform(range(1, length(x) + 4 - n), lambda i: substr(' ' || x || ' ', i, n)) WHEN length(x) + 2 = n OR n = 3 THEN [' ' || x || ' '] ELSE [] END))) FROM wl CROSS JOIN (SELECT unnest([3, 4, 5]) AS n)),
+tf AS (SELECT execution_id, mention_id, block, term, 1 + ln(count(*)) AS tf FROM g0 GROUP BY 1, 2, 3, 4),
+nn AS (SELECT execution_id, count(*) AS n FROM cx GROUP BY 1), dfr AS (SELECT execution_id, block, term, count(*) AS df FROM tf GROUP BY 1, 2, 3),
+w0 AS (SELECT tf.*, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM tf JOIN dfr USING (execution_id, block, term) JOIN nn USING (execution_id)),
+w1 AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY execution_id, mention_id, block)) AS v FROM w0), w2 AS (SELECT execution_id, mention_id, block || ':' || term AS term, v / sqrt(sum(v * v) OVER (PARTITION BY execution_id, mention_id)) AS v FROM w1),
+co AS (SELECT x.execution_id, x.mention_id AS i, y.mention_id AS j, sum(x.v * y.v) AS cosine FROM w2 x JOIN w2 y ON x.execution_id = y.execution_id AND x.term = y.term AND x.mention_id < y.mention_id GROUP BY 1, 2, 3),
+ap AS (SELECT x.execution_id, x.mention_id AS i, y.mention_id AS j, round(greatest(coalesce(cosine, CAST(0 AS DOUBLE)), coalesce(CAST(len(list_intersect(x.tk, y.tk)) AS DOUBLE) / nullif(least(len(x.tk), len(y.tk)), 0), CAST(0 AS DOUBLE))), 9) AS sim,
+  x.agent_id IS DISTINCT FROM y.agent_id OR x.round IS DISTINCT FROM y.round OR x.channel IS DISTINCT FROM y.channel AS apart FROM cx x JOIN cx y ON x.execution_id = y.execution_id AND x.mention_id < y.mention_id LEFT JOIN co ON co.execution_id = x.execution_id AND co.i = x.mention_id AND co.j = y.mention_id),
+bw AS (SELECT execution_id, i, j, sim, apart FROM ap UNION ALL SELECT execution_id, j, i, sim, apart FROM ap),
+tk2 AS (SELECT *, row_number() OVER (PARTITION BY execution_id, i ORDER BY sim DESC, j) AS r FROM bw)
+SELECT execution_id AS pool, least(i, j) AS a, greatest(i, j) AS b, round(max(sim), 4) AS sim FROM tk2 WHERE r <= 12 AND sim >= 0.5 AND apart GROUP BY 1, 2, 3"""
+
+
+@query(CANDIDATES)
 def candidate_pairs(t: Trace) -> DataFrame:
     return matching.candidate_pairs(t.worded("text")).withColumn("sim", F.round("sim", 4))
 
