@@ -119,3 +119,18 @@ def test_links_go_to_first_sayers_and_new_receivers(spark, monkeypatch):
     assert got == {("origin", "d1", "A|1"), ("origin", "d1", "B|1"), ("origin", "d1", "C|3"), ("persistence", "B|1", "B|2"), ("transmission", "A|1", "C|3"), ("transmission", "B|2", "C|3")}
     r = views.fact_reach(t).where("execution_id = 'e'").first()
     assert (r.facts, r.dead_ends, r.spread, r.fanout) == (1, 0, 1, 2.0)
+
+
+def test_a_batch_links_reworded_mentions_to_registered_facts(spark):
+    from tracemill.streaming import registry
+
+    old = spark.createDataFrame([("f1", "The old stone bridge opened in 1932."), ("f2", None)], "fact_id string, canonical_text string").withColumn("fact_id", F.coalesce(T.make_fact_id(F.col("canonical_text")), "fact_id"))
+    known = old.first().fact_id
+    new = spark.createDataFrame([("a", "the old  stone bridge opened in 1932."), ("b", "In 1932 the old stone bridge opened."), ("c", "The bridge opened."), ("d", "Rain fell all week."), ("e", "rain fell ALL week."), ("n", None)], "mention_id string, text string")
+    links, fresh = registry.register_batch(new, old)
+    got = {r.mention_id: r.fact_id for r in links.collect()}
+    assert got["a"] == got["b"] == known and got["c"] != known and got["d"] == got["e"] and got["n"] is None
+    assert {r.canonical_text for r in fresh.where("fact_id is not null").collect()} == {"The bridge opened.", "Rain fell all week."}
+    links, _ = registry.register_batch(new, old, threshold=None)
+    assert {r.mention_id for r in links.where(F.col("fact_id") == known).collect()} == {"a"}
+    assert registry.register_batch(new.limit(0), old)[0].count() == 0

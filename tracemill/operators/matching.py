@@ -144,10 +144,17 @@ def registry_links(judged: DataFrame, *, union_min: float = 0.85) -> DataFrame:
     return same.groupBy(F.col("a").alias("mention_id")).agg(F.min(F.struct((-F.col("confidence")).alias("c"), "b")).alias("x")).select("mention_id", F.col("x.b").alias("fact_id"))
 
 
-def similar_token_sets(mentions: DataFrame, threshold: float, pool: str = "execution_id") -> DataFrame:
-    """(pool, a, b, jaccard), a < b, exact: two sets that reach the threshold share one of their rarest tokens,
-    of which each brings only as many as it could lack (prefix filtering), so common tokens are never joined on."""
-    m = mentions.select(pool, F.col("mention_id").alias("id"), T.tokenize(F.col("text")).alias("w")).where(F.size("w") > 0)
+def similar_token_sets(mentions: DataFrame, threshold: float, pool: str = "execution_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """(pool, a, b, jaccard), a < b, exact. Mentions of equal tokens (and equal ``also``) are one set, which its smallest
+    mention stands for: each other is a row with that one, and pairs are of sets.
+
+    Two sets that reach the threshold share one of their rarest tokens, of which each brings only as many as it could
+    lack (prefix filtering), so common tokens are never joined on. Null pools and texts without a token have no pair.
+    """
+    m = mentions.select(pool, F.col("mention_id").alias("id"), T.tokenize(F.col("text")).alias("w"), *(F.coalesce(c, F.lit("")).alias(c) for c in also)).where((F.size("w") > 0) & F.col(pool).isNotNull())
+    sets = m.groupBy(pool, "w", *also).agg(F.min("id").alias("rep"))
+    copies = m.join(sets, [pool, "w", *also]).where("id <> rep").select(pool, F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    m = sets.select(pool, F.col("rep").alias("id"), "w")
     tokens = m.select(pool, "id", F.size("w").alias("n"), F.explode("w").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
     w = W.partitionBy(pool, "id").orderBy("df", "token")
@@ -156,7 +163,7 @@ def similar_token_sets(mentions: DataFrame, threshold: float, pool: str = "execu
     pairs = x.join(y, [pool, "token"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select(pool, "a", "b").distinct()
     of = lambda k: m.select(pool, F.col("id").alias(k), F.col("w").alias(f"w{k}"))
     scored = pairs.join(of("a"), [pool, "a"]).join(of("b"), [pool, "b"]).withColumn("jaccard", T.jaccard(F.col("wa"), F.col("wb")))
-    return scored.where(F.col("jaccard") >= threshold - 1e-9).select(pool, "a", "b", "jaccard")
+    return scored.where(F.col("jaccard") >= threshold - 1e-9).select(pool, "a", "b", "jaccard").unionByName(copies)
 
 
 def strict_subsets(sets: DataFrame, pool: str = "execution_id", key: str = "fact_id") -> DataFrame:
@@ -191,7 +198,7 @@ def exact_pairs(mentions: DataFrame, pool: str = "execution_id") -> DataFrame:
 def light_match(mentions: DataFrame, threshold: float = 0.80) -> DataFrame:
     """(pool, a, b, relation): close token sets of one run; a clash of polarity contradicts, else they are equivalent."""
     pol = lambda k: mentions.select(F.col("mention_id").alias(k), F.col("polarity").alias(f"p{k}"))
-    pairs = similar_token_sets(mentions, threshold).join(pol("a"), "a").join(pol("b"), "b")
+    pairs = similar_token_sets(mentions, threshold, also=("polarity",)).join(pol("a"), "a").join(pol("b"), "b")
     return pairs.select("execution_id", "a", "b", F.when(F.col("pa") != F.col("pb"), "CONTRADICTS").otherwise("EQUIVALENT").alias("relation"))
 
 

@@ -18,15 +18,20 @@ def j_exact_first(t: Trace) -> DataFrame:
     return matching.exact_pairs(t.worded("text"))
 
 
-SIMILAR = f", w AS (SELECT execution_id, mention_id, polarity, {tokens_sql('text')} AS w FROM m), sp AS (SELECT x.execution_id, x.mention_id AS a, y.mention_id AS b, x.polarity AS pa, y.polarity AS pb, len(list_intersect(x.w, y.w)) AS n, len(x.w) AS na, len(y.w) AS nb FROM w x JOIN w y ON x.execution_id = y.execution_id AND x.mention_id < y.mention_id AND least(len(x.w), len(y.w)) >= 0.8 * greatest(len(x.w), len(y.w))), sj AS (SELECT *, n * 1.0 / (na + nb - n) AS jaccard FROM sp)"
+def _similar(key: str) -> str:
+    """SQL of matching.similar_token_sets: sets of equal tokens (and key), their pairs, and the copies of each."""
+    return f""", w AS (SELECT execution_id, mention_id, polarity, {tokens_sql('text')} AS w, {key} AS k FROM m),
+rp AS (SELECT execution_id, w, k, min(mention_id) AS rep, arg_min(polarity, mention_id) AS polarity FROM w WHERE execution_id IS NOT NULL AND len(w) > 0 GROUP BY 1, 2, 3),
+sp AS (SELECT x.execution_id, x.rep AS a, y.rep AS b, x.polarity AS pa, y.polarity AS pb, len(list_intersect(x.w, y.w)) AS n, len(x.w) AS na, len(y.w) AS nb FROM rp x JOIN rp y ON x.execution_id = y.execution_id AND x.rep < y.rep AND least(len(x.w), len(y.w)) >= 0.8 * greatest(len(x.w), len(y.w))),
+sj AS (SELECT execution_id, a, b, pa, pb, n * 1.0 / (na + nb - n) AS jaccard FROM sp UNION ALL SELECT w.execution_id, rep, mention_id, rp.polarity, w.polarity, 1.0 FROM w JOIN rp ON rp.execution_id = w.execution_id AND rp.w = w.w AND rp.k = w.k WHERE mention_id <> rep)"""
 
 
-@query(SIMILAR + " SELECT execution_id, a, b, round(jaccard, 6) AS jaccard FROM sj WHERE jaccard >= 0.8 - 1e-9")
+@query(_similar("1") + " SELECT execution_id, a, b, round(jaccard, 6) AS jaccard FROM sj WHERE jaccard >= 0.8 - 1e-9")
 def j_partitioned_block(t: Trace) -> DataFrame:
     return matching.similar_token_sets(t.worded("text"), 0.8).withColumn("jaccard", r6("jaccard"))
 
 
-@query(SIMILAR + " SELECT execution_id, a, b, CASE WHEN pa <> pb THEN 'CONTRADICTS' ELSE 'EQUIVALENT' END AS relation FROM sj WHERE jaccard >= 0.8 - 1e-9")
+@query(_similar("coalesce(polarity, '')") + " SELECT execution_id, a, b, CASE WHEN pa <> pb THEN 'CONTRADICTS' ELSE 'EQUIVALENT' END AS relation FROM sj WHERE jaccard >= 0.8 - 1e-9")
 def light_match(t: Trace) -> DataFrame:
     return matching.light_match(t.worded("text"))
 
@@ -148,10 +153,18 @@ def relabel_policy(t: Trace) -> DataFrame:
     return j.groupBy("label", "policy").agg(F.count("*").alias("pairs"), F.count(F.when(same, 1)).alias("same"))
 
 
-@query("SELECT execution_id, count(*) AS mentions, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS possible_pairs FROM m WHERE execution_id IS NOT NULL GROUP BY 1")
+#: Pairs that a judge of both directions scores a second.
+JUDGED_A_SECOND = 15.5 / 2
+
+
+@query(f", u AS (SELECT execution_id, count(*) AS n, count(DISTINCT {WORDKEY}) AS d FROM m WHERE execution_id IS NOT NULL GROUP BY 1), p AS (SELECT execution_id, n AS mentions, CAST(n * (n - 1) / 2 AS BIGINT) AS possible_pairs, CAST(d * (d - 1) / 2 AS BIGINT) AS distinct_pairs FROM u) SELECT *, possible_pairs - distinct_pairs AS saved_pairs, round(distinct_pairs / {JUDGED_A_SECOND}, 6) AS seconds FROM p")
 def estimate_matching(t: Trace) -> DataFrame:
-    n = F.count("*")
-    return t.mentions.where("execution_id is not null").groupBy("execution_id").agg(n.alias("mentions"), (n * (n - 1) / 2).cast("long").alias("possible_pairs"))
+    """What judging all pairs of a run would take, and what joining equal wordings first saves."""
+    key = F.concat_ws("|", T.norm_word(F.col("text")), "polarity")
+    u = t.worded("text").where("execution_id is not null").groupBy("execution_id").agg(F.count("*").alias("n"), F.countDistinct(key).alias("d"))
+    pairs = lambda c, name: (F.col(c) * (F.col(c) - 1) / 2).cast("long").alias(name)
+    p = u.select("execution_id", F.col("n").alias("mentions"), pairs("n", "possible_pairs"), pairs("d", "distinct_pairs"))
+    return p.withColumns({"saved_pairs": F.col("possible_pairs") - F.col("distinct_pairs"), "seconds": r6(F.col("distinct_pairs") / JUDGED_A_SECOND)})
 
 
 # --- statistics over runs -------------------------------------------------------------------------

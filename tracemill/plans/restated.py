@@ -328,3 +328,15 @@ def seat_profile(t: Trace) -> DataFrame:
     p = p.na.fill(0, ["d_out", "spread", "rep", "d_in", "n_out", "n_in"])
     degree = lambda d, n: r6(F.col(d) * 1000.0 / F.greatest(F.col(n), F.lit(1)))
     return p.select(*key, "props", r6("first_share").alias("first_share"), r6("mean_words").alias("mean_words"), degree("d_out", "n_out").alias("out_degree"), degree("d_in", "n_in").alias("in_degree"), "spread", r6(F.col("rep") / F.col("props")).alias("self_repeat"))
+
+
+@query(", d AS (SELECT DISTINCT ea AS execution_id, CASE WHEN label = 'A_ENTAILS_B' THEN ga ELSE gb END AS strong, CASE WHEN label = 'A_ENTAILS_B' THEN gb ELSE ga END AS weak, CASE WHEN label = 'A_ENTAILS_B' THEN rb - ra ELSE ra - rb END AS span, a, b FROM lf WHERE ea = eb AND ga IS NOT NULL AND gb IS NOT NULL AND ra > 0 AND rb > 0 AND label IN ('A_ENTAILS_B', 'B_ENTAILS_A')), e AS (SELECT * FROM d WHERE span > 0), x AS (SELECT execution_id, strong AS agent_id, 1 AS o, 0 AS i, CAST(strong <> weak AS INT) AS c, span FROM e UNION ALL SELECT execution_id, weak, 0, 1, 0, NULL FROM e) SELECT execution_id, agent_id, CAST(sum(o) AS BIGINT) AS weakened_by_others_or_self, CAST(sum(i) AS BIGINT) AS weakens, CAST(sum(c) AS BIGINT) AS by_peers, round(avg(span), 6) AS span FROM x GROUP BY 1, 2")
+def entail_degrees(t: Trace) -> DataFrame:
+    """For each agent: its statements weakened later, those it weakened, how many by peers, and over how many rounds."""
+    ab = F.col("label") == "A_ENTAILS_B"
+    pick = lambda x, y: F.when(ab, F.col(x)).otherwise(F.col(y))
+    d = t.lifted.where("ea = eb and ga is not null and gb is not null and ra > 0 and rb > 0 and label in ('A_ENTAILS_B', 'B_ENTAILS_A')")
+    e = d.select(F.col("ea").alias("execution_id"), pick("ga", "gb").alias("strong"), pick("gb", "ga").alias("weak"), (pick("rb", "ra") - pick("ra", "rb")).alias("span"), "a", "b").distinct().where("span > 0")
+    sides = F.array(F.struct(F.col("strong").alias("agent_id"), F.lit(1).alias("o"), F.lit(0).alias("i"), (F.col("strong") != F.col("weak")).cast("int").alias("c"), F.col("span").alias("s")), F.struct(F.col("weak").alias("agent_id"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.lit(0).alias("c"), F.lit(None).cast("int").alias("s")))
+    x = e.select("execution_id", F.explode(sides).alias("x")).select("execution_id", "x.*")
+    return x.groupBy("execution_id", "agent_id").agg(F.sum("o").alias("weakened_by_others_or_self"), F.sum("i").alias("weakens"), F.sum("c").alias("by_peers"), r6(F.avg("s")).alias("span"))
