@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.plans import census, graphs, lifecycle, matchers, restated, review, scalars, topics, views  # noqa: F401
+from tracemill.plans import census, graphs, lifecycle, matchers, restated, review, scalars, tables, topics, views  # noqa: F401
 from tracemill.plans.registry import QUERIES, SQL
 
 
