@@ -134,3 +134,19 @@ def test_a_batch_links_reworded_mentions_to_registered_facts(spark):
     links, _ = registry.register_batch(new, old, threshold=None)
     assert {r.mention_id for r in links.where(F.col("fact_id") == known).collect()} == {"a"}
     assert registry.register_batch(new.limit(0), old)[0].count() == 0
+
+
+def test_a_chain_through_many_rounds_is_walked_step_by_step(spark):
+    """Plans that hold the step before twice would double with each of the 30 rounds."""
+    from tracemill.operators.base import Trace
+    from tracemill.plans import review
+
+    weaker = [("e", f"f{i}", f"f{i + 1}", i + 1, i + 2) for i in range(30)]
+    # A later end of f1 alone, a way back in time, and a run whose steps don't meet.
+    weaker += [("e", "f0", "f1", 1, 9), ("e", "f3", "f0", 4, 1), ("g", "x", "y", 1, 5), ("g", "y", "z", 4, 6)]
+    rows = [(e, e, u, v, p, q, "A_ENTAILS_B") if i % 2 else (e, e, v, u, q, p, "B_ENTAILS_A") for i, (e, u, v, p, q) in enumerate(weaker)]
+    t = Trace(spark, "")
+    t.lifted = spark.createDataFrame(rows, "ea string, eb string, fa string, fb string, ra int, rb int, label string")
+    assert {r.execution_id: r.longest for r in review.g_longest_chain(t).collect()} == {"e": 30, "g": 1}
+    t.lifted = t.lifted.limit(0)
+    assert review.g_longest_chain(t).count() == 0

@@ -13,6 +13,7 @@ from tracemill.plans.lifecycle import TOKENS, USES, _tokens, r6
 from tracemill.plans.registry import fact_id_sql, query, tokens_sql
 from tracemill.plans.restated import SCREEN, _count, _screened
 from tracemill.plans.topics import OFFERS, _offers, _topic
+from tracemill.runtime import Scratch
 
 # --- answers in texts -------------------------------------------------------------------------------
 
@@ -325,19 +326,23 @@ def st_lift_ci(t: Trace) -> DataFrame:
 def g_longest_chain(t: Trace) -> DataFrame:
     """The longest run of weakenings from fact to fact through ever later rounds of an execution.
 
-    Each step ends in a later round, so as many joins as there are rounds reach every chain.
+    A step looks at the facts that chains of n edges end at, each with the earliest round in which one does, as what
+    goes on from a later end goes on from an earlier one too. Steps end when no chain is longer, after as many as there
+    are rounds at most; each is written, so that no plan holds the one before.
     """
     ab = F.col("label") == "A_ENTAILS_B"
     pick = lambda x, y: F.when(ab, F.col(x)).otherwise(F.col(y))
     e = t.lifted.where("ea = eb and ra > 0 and rb > 0 and label in ('A_ENTAILS_B', 'B_ENTAILS_A')")
     d = e.select(F.col("ea").alias("execution_id"), pick("fa", "fb").alias("u"), pick("fb", "fa").alias("v"), pick("ra", "rb").alias("p"), pick("rb", "ra").alias("q")).where("p < q").distinct()
-    d = matching.kept(d, "chains")
-    most = d.agg(F.countDistinct("q").alias("n")).first().n
-    w = d.select("execution_id", "v", "q", F.lit(1).alias("n")).distinct()
-    for _ in range(most - 1):
-        step = d.join(w.select("execution_id", F.col("v").alias("u"), F.col("q").alias("w"), "n"), ["execution_id", "u"]).where("p >= w")
-        w = w.unionByName(step.select("execution_id", "v", "q", (F.col("n") + 1).alias("n"))).groupBy("execution_id", "v", "q").agg(F.max("n").alias("n"))
-    return w.groupBy("execution_id").agg(F.max("n").alias("longest"))
+    scratch = Scratch(t.spark, "chains")
+    d = scratch.keep(d)
+    ends = lambda x, n: scratch.keep(x.groupBy("execution_id", "v").agg(F.min("q").alias("q")).withColumn("n", F.lit(n)))
+    steps = [ends(d, 1)]
+    while steps[-1].take(1):
+        w = steps[-1].select("execution_id", F.col("v").alias("u"), F.col("q").alias("w"))
+        steps.append(ends(d.join(w, ["execution_id", "u"]).where("p >= w"), len(steps) + 1))
+    found = t.spark.read.schema(steps[0].schema).parquet(*(scratch.paths[id(w)] for w in steps))
+    return found.groupBy("execution_id").agg(F.max("n").alias("longest"))
 
 
 @query()
