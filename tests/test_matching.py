@@ -150,3 +150,32 @@ def test_a_chain_through_many_rounds_is_walked_step_by_step(spark):
     assert {r.execution_id: r.longest for r in review.g_longest_chain(t).collect()} == {"e": 30, "g": 1}
     t.lifted = t.lifted.limit(0)
     assert review.g_longest_chain(t).count() == 0
+
+
+def test_a_crowd_of_sets_that_all_meet_shuffles_no_pairs(spark):
+    """Every two of 1,200 sets share a token of their prefixes; only the few near the threshold may leave the join."""
+    rng = random.Random(3)
+    sets = [sorted(rng.sample(range(30), 20)) for _ in range(1200)]
+    for i in range(0, 1200, 40):
+        sets[i] = sorted({*sets[i + 1][1:], rng.randrange(60, 70)})
+    rows = [("e1" if i < 3 else "e0", f"m{i:04}", " ".join(f"w{t:02}" for t in w)) for i, w in enumerate(sets)]
+    rows += [("e0", "n1", rows[5][2]), ("e0", "n2", None), ("e0", "n3", "-"), (None, "n4", rows[5][2])]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jvm = spark.sparkContext._gateway
+
+    def written():
+        stages = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    got = {tuple(r)[:3] for r in matching.similar_token_sets(spark.createDataFrame(rows, "execution_id string, mention_id string, text string"), 0.8).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    shuffled = sum(n for k, n in written().items() if k not in before)
+    print("bytes shuffled", shuffled)
+    assert shuffled < 150_000
+    words = {(e, m): set(t.split()) for e, m, t in rows if e and t and t != "-"}
+    copies = {("e0", "n1")}
+    keys = sorted(k for k in words if k not in copies)
+    want = {(e, a, b) for (e, a), (f, b) in itertools.combinations(keys, 2) if e == f and len(words[e, a] & words[f, b]) >= 0.8 * len(words[e, a] | words[f, b]) - 1e-9}
+    first = min(m for (e, m), w in words.items() if e == "e0" and w == words["e0", "n1"])
+    assert got == want | ({("e0", first, "n1")} if first != "n1" else set()) and len(want) >= 20
