@@ -165,6 +165,24 @@ def test_recall_of_paraphrases(spark):
     assert found >= 90 and not any(got.values()) and len(got.keys() - want) <= 5
 
 
+def test_p7_found_searches_passages_too(spark, tmp_path, monkeypatch):
+    """The query goes through the passages' cosine and their check as well, and gives the exact leaks only."""
+    from tracemill.llm import queries
+
+    rng = random.Random(21)
+    items = [(i, " ".join(_sentences(rng, 4)), None) for i in range(4)]
+    docs = [(d, " ".join(_sentences(rng, 6))) for d in range(40)]
+    docs[7] = (7, docs[7][1] + " " + " ".join(items[2][1].split()[5:18]))
+    docs[8] = (8, " ".join(w for k, w in enumerate(items[1][1].split()) if k % 6 != 3))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string, answer string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    asked, search = [], leakage.search
+    monkeypatch.setattr(leakage, "search", lambda *a: asked.append(a[-1]) or search(*a))
+    assert [tuple(r) for r in queries.p7_found(spark, str(tmp_path)).collect()] == [(7, 2)]
+    assert asked == [True]
+    assert {(r.doc_id, r.item_id, r.exact) for r in queries.p7_leaks(spark, str(tmp_path)).collect()} == {(7, 2, True), (8, 1, False)}
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 10_000), st.integers(3, 60))
 def test_flight_keeps_totals(seed, n):
