@@ -228,6 +228,16 @@ def test_encoding_restores(spark):
     assert encoding.restored(df.limit(0)).count() == 0
 
 
+def test_encodings_are_fitted_on_every_text(spark):
+    rows = [(i, f"Der Zeuge {i} prüfte die Höhe.", "de") for i in range(400)] + [(i, f"Der Zeuge {i} fand ein Maß.", "de") for i in range(400, 600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    dictionaries, known = encoding.fit(df)
+    assert known[encoding.LANGUAGES.index("de")] >= {"rü", "üf", "Hö", "öh", "aß"} and not known[0]
+    assert encoding.fit(df.repartition(7)) == (dictionaries, known)
+    small, same = encoding.fit(df, part=50, fan_in=2)
+    assert same == known and len(small) == len(dictionaries) == 1
+
+
 TRAIN = {
     "de": ["Die Prüfung der Anträge dauert länger als üblich.", "Über die Höhe der Gebühren entscheidet später der Ausschuss.", "Für größere Städte gelten übliche Fristen, für Dörfer kürzere.", "Der Bürgermeister möchte die Straße früher öffnen."],
     "fr": ["Le comité a relevé plusieurs écarts après l'été.", "La qualité du café a été contrôlée à l'arrivée.", "Les élèves répètent la leçon près de la fenêtre.", "Un témoin a déclaré que le marché était fermé."],

@@ -4,8 +4,9 @@ Method: minimum description length. Every candidate decoding of a passage is com
 dictionaries, one a language; the chain of decodings whose best compression plus the cost of the chain is
 smallest wins, and where no chain beats the text as it stands, it stays unchanged.
 
-The dictionaries and the known letter pairs are fitted on at most ``SAMPLE`` labelled texts a language (a
-documented bound); detection covers every document whole. Texts of plain ASCII are decided without work. A letter
+The dictionaries and the known letter pairs are fitted on all labelled texts: pairs are counted over all of them, and
+each part of a few hundred texts gives a dictionary, from which the language's one is trained. Detection covers every
+document whole. Texts of plain ASCII are decided without work. A letter
 pair that a language doesn't show costs some bytes in that language, on top of the compression, and a passage takes
 the language that is cheapest for it as a whole. So a passage whose pairs one language shows throughout, and in
 which no run of characters decodes as UTF-8, has nothing to gain; every other passage is decided by length, under
@@ -17,15 +18,22 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from tracemill.runtime import Scratch, delete
+
 LANGUAGES = ("en", "de", "fr", "es", "pt", "pl", "ru", "el")
-SAMPLE = 300
-DICTIONARY_BYTES = 24_000
+#: Texts of a part, about, and dictionaries that one is trained from.
+PART, FAN_IN = 500, 64
+#: Bytes of a dictionary, and of the pieces into which others' are cut to train it.
+DICTIONARY_BYTES, PIECE = 24_000, 400
+#: A pair is known to a language when two of its texts have it, and one in so many.
+RARE = 1_000
 
 #: Encodings a reader may have used for UTF-8 bytes, and for or instead of another single-byte encoding.
 WRONG = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp1253", "cp866", "koi8_r", "iso8859_2")
@@ -101,18 +109,35 @@ def pairs_of(stretch: str) -> Iterator[str]:
 
 ACCENTED = re.compile(r"[À-ÿ]")
 LETTER = re.compile(r"[^\W\d_]")
+#: Every ``ODD`` holds one.
+SIGN = re.compile(r"[¹²³¿¯¸·£¥А-ЯЁ]")
 ODD = re.compile(r"[^\W\d_][¹²³¿¯¸·£¥][^\W\d_]|[а-яё][А-ЯЁ]")
 
 
+@lru_cache(100_000)
+def _decodes(run: str) -> bool:
+    return bool(utf8_chains(run, True, 1))
+
+
+@lru_cache(100_000)
+def _pairs(stretch: str) -> frozenset[str]:
+    return frozenset(pairs_of(stretch))
+
+
 def natural(text: str) -> bool:
     """Whether a text can serve as a sample: no lost or control characters, nothing that decodes, no writing in
     which two letters of five are accented, signs stand within words, or capitals follow small Cyrillic letters."""
-    if "�" in text or CONTROL.search(text) or len(ODD.findall(text)) > 1:
+    runs = RUN.findall(text)
+    strange = "".join(runs)
+    if "�" in strange or CONTROL.search(strange) or SIGN.search(strange) and len(ODD.findall(text)) > 1:
         return False
-    parts = [p for p in PASSAGE.findall(text) if len(LETTER.findall(p)) > 15]
-    if any(len(ACCENTED.findall(p)) > 0.4 * len(LETTER.findall(p)) for p in parts):
-        return False
-    return not any(len(r) > 1 and utf8_chains(r, True, 1) for r in set(RUN.findall(text)))
+    # Passages of over 15 letters count, so seven are accented at least.
+    if len(ACCENTED.findall(strange)) > 6:
+        for p in PASSAGE.findall(text):
+            accented = len(ACCENTED.findall(p))
+            if accented > 6 and 15 < len(LETTER.findall(p)) < accented / 0.4:
+                return False
+    return not any(len(r) > 1 and _decodes(r) for r in set(runs))
 
 
 def single_chains() -> list[tuple[str, dict[int, str]]]:
@@ -252,23 +277,67 @@ class Detector:
         return lost or bool(chains), fixed if chains else None, sorted(set(chains))
 
 
-def fit(documents: DataFrame, *, text: str = "text", language: str = "lang", languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> tuple[list[bytes], list[set[str]]]:
-    """(dictionaries, each language's known letter pairs) from at most ``sample`` texts a language, those with garbled stretches left out.
+def _trained(samples: list[bytes]) -> bytes | None:
+    """A dictionary; None where there is too little to train on."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:
+        return None
+
+
+def _joined(dictionaries: list[bytes]) -> bytes:
+    """One dictionary in place of several."""
+    dictionaries = sorted(dictionaries)
+    if len(dictionaries) == 1:
+        return dictionaries[0]
+    return _trained([d[i : i + PIECE] for d in dictionaries for i in range(0, len(d), PIECE)]) or dictionaries[0]
 
-    A language without texts, or with too few to train on, gets no dictionary; there is always one at least.
+
+def _part(table: pa.Table) -> pa.Table:
+    """(lang, n, dictionary, pairs, counts) of a part's texts, those with garbled stretches left out: their number,
+    their dictionary or null, and how many of them show each letter pair."""
+    clean = sorted(t for t in table.column("text").to_pylist() if natural(t))
+    counts = Counter(p for t in clean for p in {p for s in STRETCH.findall(t) for p in _pairs(s)})
+    dictionary = _trained([p.encode("utf-8", "surrogatepass") for t in clean for p in PASSAGE.findall(t) if len(p) > 8])
+    columns = [table.column("lang")[:1].combine_chunks(), pa.array([len(clean)], pa.int64()), pa.array([dictionary], pa.binary()), pa.array([list(counts)], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int64()))]
+    return pa.Table.from_arrays(columns, ["lang", "n", "dictionary", "pairs", "counts"])
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    return pa.Table.from_arrays([table.column("lang")[:1], pa.array([_joined(table.column("dictionary").to_pylist())], pa.binary())], ["lang", "dictionary"])
+
+
+def fit(documents: DataFrame, *, key: str = "doc_id", text: str = "text", language: str = "lang", languages: tuple[str, ...] = LANGUAGES, part: int = PART, fan_in: int = FAN_IN) -> tuple[list[bytes], list[set[str]]]:
+    """(dictionaries, each language's known letter pairs) from all texts labelled with a language, those with garbled stretches left out.
+
+    Texts fall into parts by a hash of key and text, and are sorted there, so the fit is the same however the table
+    is split. A language without texts, or with too few to train on, gets no dictionary; there is always one at least.
     """
-    dictionaries, known = [], []
-    rows = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(language).alias("lang"))
-    for name in languages:
-        clean = [row.text for row in rows.where(F.col("lang") == name).select("text").take(sample) if natural(row.text)]
-        counts = Counter(p for t in clean for s in STRETCH.findall(t) for p in set(pairs_of(s)))
-        known.append({p for p, n in counts.items() if n >= 2})
-        parts = [p.encode() for t in clean for p in PASSAGE.findall(t) if len(p) > 8]
-        try:
-            dictionaries.append(zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes())
-        except zstandard.ZstdError:
-            continue
-    return dictionaries or [b""], known
+    spark = documents.sparkSession
+    rows = documents.where(F.col(text).isNotNull() & F.col(language).isin(*languages)).select(F.col(language).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("at"))
+    parts = {r.lang: -(-r.n // part) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not parts:
+        return [b""], [set() for _ in languages]
+    scratch = Scratch(spark, "encodings")
+    of = F.create_map(*(F.lit(x) for pair in parts.items() for x in pair))[F.col("lang")]
+    found = rows.select("lang", "text", F.pmod("at", of).alias("part")).groupBy("lang", "part").applyInArrow(_part, "lang string, n long, dictionary binary, pairs array<string>, counts array<long>")
+    found = scratch.keep(found)
+    texts = {r.lang: r.n for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    least = F.create_map(*(F.lit(x) for lang, n in texts.items() for x in (lang, max(2, -(-n // RARE)))))[F.col("lang")]
+    shown = found.select("lang", F.explode(F.arrays_zip("pairs", "counts")).alias("p")).groupBy("lang", "p.pairs").agg(F.sum("p.counts").alias("n"))
+    known: dict[str, set[str]] = {name: set() for name in languages}
+    for r in shown.where(F.col("n") >= least).collect():
+        known[r.lang].add(r.pairs)
+    trained = found.where("dictionary is not null").select("lang", "dictionary")
+    most = max(parts.values())
+    while most > fan_in:
+        most = -(-most // fan_in)
+        trained = scratch.keep(trained.groupBy("lang", F.pmod(F.xxhash64("dictionary"), F.lit(most))).applyInArrow(_merge, "lang string, dictionary binary"))
+    held: dict[str, list[bytes]] = {}
+    for r in trained.collect():  # ``fan_in`` a language at most
+        held.setdefault(r.lang, []).append(bytes(r.dictionary))
+    delete(spark, scratch.root)
+    return [_joined(held[name]) for name in languages if name in held] or [b""], [known[name] for name in languages]
 
 
 def restored(documents: DataFrame, *, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
@@ -278,7 +347,7 @@ def restored(documents: DataFrame, *, key: str = "doc_id", text: str = "text", l
     bytes are lost. An empty table gives an empty result; other columns are ignored.
     """
     spark = documents.sparkSession
-    model = spark.sparkContext.broadcast(fit(documents, text=text, language=language))
+    model = spark.sparkContext.broadcast(fit(documents, key=key, text=text, language=language))
     kind = dict(documents.dtypes)[key]
     schema = documents.select(F.col(key).alias("key"), F.lit("").cast("string").alias("restored"), F.array(F.lit("")).alias("chains")).schema
 
