@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,27 @@ def test_a_crowd_of_sets_that_all_meet_shuffles_no_pairs(spark):
     want = {(e, a, b) for (e, a), (f, b) in itertools.combinations(keys, 2) if e == f and len(words[e, a] & words[f, b]) >= 0.8 * len(words[e, a] | words[f, b]) - 1e-9}
     first = min(m for (e, m), w in words.items() if e == "e0" and w == words["e0", "n1"])
     assert got == want | ({("e0", first, "n1")} if first != "n1" else set()) and len(want) >= 20
+
+
+def test_candidate_pairs_of_pools_in_chunks(spark):
+    """Whole pools, screened or not, and pools in chunks give what all pairs in one block give."""
+    rng = np.random.default_rng(5)
+    words = [a + b for a in ("Ost", "lüm", "vel", "rud", "kañ", "mås") for b in ("dal", "ford", "gla", "cor", "x")] + ["the", "of", "is", "a"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(230)] + ["the of", "the  of", "", " ", None, "—", "x", "x"] * 2
+    rows = [(f"m{n:03}", t, "e" if n % 4 else ("f" if n % 8 else None), f"a{n % 3}", n % 2, "output") for n, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "mention_id string, text string, execution_id string, agent_id string, round int, channel string")
+    known = df.where("execution_id is not null")
+    vectors = matching.tfidf(known).groupBy("mention_id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "weight")).alias("v"))
+    held = known.join(vectors, "mention_id").select("execution_id", F.lit(0).alias("chunk"), F.col("mention_id").alias("key"), F.col("v.t").alias("terms"), F.col("v.weight").alias("weights"), F.transform(T.tokenize(F.col("text")), lambda x: F.xxhash64(x)).alias("tokens")).toPandas()
+    slot = {r[0]: r[2:] for r in rows}
+    want = {}
+    for pool, part in held.groupby("execution_id"):
+        for r in matching._scorer(12)((pool, 0, 0), part.reset_index(drop=True)).itertuples():
+            if r.sim >= 0.5 and slot[r.i] != slot[r.j]:
+                want[pool, *sorted((r.i, r.j))] = r.sim
+    assert len(want) > 300 and {k[0] for k in want} == {"e", "f"}
+    for sizes in ({}, {"whole": 2, "rows": 50}, {"whole": 100, "rows": 1_000}):
+        assert {(r.pool, r.a, r.b): r.sim for r in matching.candidate_pairs(df, **sizes).collect()} == want
+    assert matching.candidate_pairs(df.limit(0)).count() == 0
+    alone = spark.createDataFrame([("a", "one", "e", "x", 1, "output"), ("b", "two", "e", "y", 1, "output")], df.schema)
+    assert matching.candidate_pairs(alone, whole=1, rows=1).count() == 0
