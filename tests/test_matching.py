@@ -204,3 +204,13 @@ def test_candidate_pairs_of_pools_in_chunks(spark):
     assert matching.candidate_pairs(df.limit(0)).count() == 0
     alone = spark.createDataFrame([("a", "one", "e", "x", 1, "output"), ("b", "two", "e", "y", 1, "output")], df.schema)
     assert matching.candidate_pairs(alone, whole=1, rows=1).count() == 0
+
+
+def test_candidate_pairs_spread_no_terms(spark, monkeypatch):
+    """Neither a row a term nor a copy of a row for each other chunk of its pool stands in the plan."""
+    monkeypatch.setattr(matching, "tfidf", lambda *_: pytest.fail("a row a term"))
+    rows = [(f"m{n:03}", f"whales migrate south in winter {n % 90}", "e", f"a{n}", 1, "output") for n in range(200)]
+    df = spark.createDataFrame(rows, "mention_id string, text string, execution_id string, agent_id string, round int, channel string")
+    for sizes in ({}, {"whole": 100, "rows": 50}):
+        got = matching.candidate_pairs(df, **sizes)
+        assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() > 1_000
