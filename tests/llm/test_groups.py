@@ -204,6 +204,36 @@ def test_a_crowd_is_decided_in_order(spark, monkeypatch):
     assert {tuple(r) for r in history.said_already(f, n).collect()} == brute_history([], new)
 
 
+@pytest.mark.parametrize("settle", [0, 5_000_000])
+def test_batches_of_one_call_are_one_sequence(spark, monkeypatch, settle):
+    """Eight batches take no more jobs than two, no label is a row of a plan, and the answer is that of one row after
+    another: crowds, waves, sets that come again, and cases of history that are alike to new texts as well."""
+    monkeypatch.setattr(history, "LEADERS", 4)
+    monkeypatch.setattr(history, "WAVE_FROM", 2000)
+    monkeypatch.setattr(history, "FILE_ENTRIES", 3000)
+    monkeypatch.setattr(history, "SETTLE", settle)
+    texts = _texts(11, 40)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(12)]
+    crowd = [" ".join(base[: 12 - i % 5] + [f"x{i % 7}", f"y{i * 7 % 60}"]) for i in range(40)]
+    facts = [(i, fact_id(t), t) for i, (_, t) in enumerate(texts[:20])]
+    said = [t for _, t in texts[10:]] + crowd
+    said += rng.choices(said, k=30)
+    rng.shuffle(said)
+    f = spark.createDataFrame(facts, "ord long, fact_id string, canonical_text string")
+    jobs = []
+    for batches in (2, 8):
+        new = [(f"m{i}", 1 + i * batches // len(said), i, t) for i, t in enumerate(said)]
+        n = spark.createDataFrame([(b, m, o, t) for m, b, o, t in new], "batch_no int, mention_id string, ord long, text string")
+        before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+        assert {tuple(r) for r in history.said_already(f, n).collect()} == brute_history(facts, new)
+        jobs.append(spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before)
+    print("jobs of two and of eight batches", jobs)
+    assert jobs[1] <= jobs[0] + 2
+    sets = spark.createDataFrame([(1, 1, [1, 2], 0, 0)], "id long, pos long, words array<int>, low long, high long")
+    assert "Generate" not in history.leaders(sets, 5)._jdf.queryExecution().toString()
+
+
 def test_forest_is_opened_again_and_reads_what_a_batch_hits(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(history, "LABEL_GROUP", 64)
     monkeypatch.setattr(history, "TEXT_GROUP", 16)
